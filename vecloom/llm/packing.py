@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -210,24 +211,32 @@ def pieces(docs: DataFrame, declaration: str, capacity: int = 1024, end: int = 2
     """Pieces of every document: ids (little-endian unsigned 32 bit), their crc32, and the rank within (task, length)."""
     shipped = docs.sparkSession.sparkContext.broadcast(declaration)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shipped.value)
         task, seen = TaskContext.get().partitionId(), Counter()
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = own.encode_array(text, end)
+        for batch in batches:
+            rows, size = [], 0
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all(batch.column("text"), end)):
                 first = len(ids) % capacity or min(capacity, len(ids))
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     raw = ids[a:b].tobytes()
                     rows.append((doc_id, i, a, b - a, raw, zlib.crc32(raw), task, seen[b - a]))
                     seen[b - a] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "task", "nth"])
-            yield out.astype({"doc_id": "Int64"})
+                    size += len(raw)
+                if size > 4 << 20:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows)
 
-    # doc_id is optional in Parquet, so it travels as a nullable integer.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+    names = [p.split()[0] for p in PIECES.split(", ")]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end: int = 2) -> DataFrame:

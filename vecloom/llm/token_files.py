@@ -32,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -136,27 +137,27 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = 0, files:
     shipped = spark.sparkContext.broadcast(read_declaration(tokenizer_path))
     target = _uri(path)
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, writer = encoder(shipped.value), None
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if doc_id is None or doc_id != doc_id:
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all(batch.column("text"), end)):
+                if doc_id is None:
                     raise ValueError("a document without an id can't be written")
                 if writer is None:
                     store, where = open_store(f"{target}/{uuid.uuid4().hex}.zst")
                     store.create_dir(os.path.dirname(where), recursive=True)
                     stream = store.open_output_stream(where, compression=None, buffer_size=1 << 20)
                     writer, name = FrameWriter(stream), os.path.basename(where)
-                writer.add(int(doc_id), own.encode_array(text, end).tobytes())
+                writer.add(doc_id, ids.tobytes())
         if writer is not None:
             writer.finish()
             stream.close()
-            yield pd.DataFrame({"path": [f"{target}/{name}"], "first_id": [writer.ids[0]], "documents": [len(writer.ids)], "tokens": [writer.tokens], "bytes": [writer.size]})
+            yield pa.RecordBatch.from_pylist([{"path": f"{target}/{name}", "first_id": writer.ids[0], "documents": len(writer.ids), "tokens": writer.tokens, "bytes": writer.size}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInPandas(save, MANIFEST), "token-files")
+    return materialize(ordered.mapInArrow(save, MANIFEST), "token-files")
 
 
 def starts(manifest: DataFrame) -> DataFrame:

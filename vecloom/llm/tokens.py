@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Python's white space includes Unicode's, so a cut is never made beside any blank.
@@ -25,10 +29,19 @@ _STOPS = frozenset(".,;:!?")
 #: Marks the key of a text's first chunk, which has no space before it; no later key begins so.
 _FIRST = "\n\n"
 #: Chunks cached per worker process, the bound of the cache's memory.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 600_000
+#: Text that is numbered at once.
+SLICE_BYTES = 16 << 20
 _OPEN: dict[str, "Encoder"] = {}
 
 
+#: All blanks of Unicode as Python has them, but the space and the line feed; and the last letter that counts as Latin here.
+_OTHER_BLANKS = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+_LATIN = "\u024f"
+#: Texts in which a blank is not one space or one line feed between two words.
+_ODD_BLANKS = "[ \n]{2}|^[ \n]|[ \n]$|[" + "".join(_OTHER_BLANKS) + "]"
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and on, in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -37,6 +50,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_SPACE_LETTER = " ".translate(_BYTE_LETTERS)
 
 
 def can_split(declaration: dict) -> bool:
@@ -55,58 +69,62 @@ class Encoder:
     """Encodes whole texts; ids are kept as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, declaration: str):
+        # one thread a task: the library's own pool costs more than it gives on small inputs
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if sys.byteorder != "little":
+            raise NotImplementedError("ids are kept in the machine's order, which must be little-endian")
         self.tokenizer = Tokenizer.from_str(declaration)
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.split = can_split(json.loads(declaration))
         #: Two generations: what is still used moves from the old to the young one.
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {_FIRST: b""}
         self.old: dict[str, bytes] = {}
+        self.single = {c: self._ids([c])[0] for c in ("\n", *_STOPS)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found: list = [None] * len(texts)
-        other = []
-        for i, text in enumerate(texts):
-            # one blank and letters are one pre-token, which goes to the library's model directly
-            if self.split and text[0] == " " and text[1:].isalpha():
-                found[i] = array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _simple(self, key: str) -> bytes | None:
+        """Ids of a line feed or nothing, a run of Latin letters, and one punctuation mark or nothing; None for other keys.
+
+        A run of letters with or without a space before it is one pre-token, so
+        the library's model is enough; the run ends before punctuation.
+        """
+        line = key[0] == "\n"
+        first = line and key[1:2] == "\n"
+        word = key[2:] if first else key[1:] if line else key
+        stop = b""
+        if not word.isalpha():
+            stop = self.single.get(word[-1:])
+            word = word[:-1]
+            if stop is None or not word.isalpha():
+                return None
+        ids = None if line else self.young.get(word)
+        if ids is None:
+            if word.isascii():
+                text = word
+            elif max(word) > _LATIN:
+                return None
             else:
-                other.append(i)
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
-            found[i] = array("I", e.ids)
-        if sys.byteorder == "big":
-            for ids in found:
-                ids.byteswap()
-        return [ids.tobytes() for ids in found]
+                text = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(text if line else _SPACE_LETTER + text)]).tobytes()
+        return self.single["\n"] + ids + stop if line and not first else ids + stop
 
     def _learn(self, keys: set[str]) -> None:
         """Fill the young generation with what ``keys`` stand for (see ``_chunk``)."""
         if len(self.young) > CACHE_CHUNKS // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        tails: list[tuple[str, str]] = []
-        new: set[str] = set()
+            self.old, self.young = self.young, {_FIRST: b""}
+        young, old, simple = self.young, self.old.get, self._simple
+        other: list[str] = []
         for key in keys:
-            known = old.get(key)
-            if known is not None:
-                young[key] = known
-            elif len(key) > 3 and key[-1] in _STOPS and key[-2].isalpha():
-                # a run of letters ends before punctuation, whatever the letters are
-                tails.append((key[:-1], _FIRST + key[-1]))
+            ids = old(key) or simple(key)
+            if ids is None:
+                other.append(key)
             else:
-                new.add(key)
-        for head, stop in tails:
-            for part in (head, stop):
-                if part not in young:
-                    if part in old:
-                        young[part] = old[part]
-                    else:
-                        new.add(part)
-        listed = list(new)
-        if listed:
-            young.update(zip(listed, self._ids([_chunk(k) for k in listed])))
-        for head, stop in tails:
-            young[head + stop[-1]] = young[head] + young[stop]
+                young[key] = ids
+        if other:
+            young.update(zip(other, self._ids([_chunk(k) for k in other])))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of the whole text; null counts as empty."""
@@ -115,8 +133,8 @@ class Encoder:
         if not self.split:
             return self._ids([text])[0]
         keys = text.replace("\n", " \n").split(" ")
-        # False if each blank is one space or one line feed between two words
-        if "" in keys or "\n" in keys or len("".join(text.split())) + len(keys) - 1 != len(text):
+        # each blank must be one space or one line feed between two words
+        if "" in keys or "\n" in keys or any(c in text for c in _OTHER_BLANKS):
             keys = _SPACE.split(text)
         keys[0] = _FIRST + keys[0]
         young = self.young
@@ -129,6 +147,54 @@ class Encoder:
                 found[i] = young[keys[i]]
         return b"".join(found)
 
+    def encode_all(self, texts: pa.Array, end: int | None = None, slice_bytes: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+        """Ids of each text, in order, for a whole Arrow batch.
+
+        Texts are cut and their chunks numbered by Arrow, so each distinct chunk
+        of a slice is looked up once; ids are then gathered by number.
+        """
+        tail = np.array([] if end is None else [end], dtype="<u4")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.fill_null(texts.cast(pa.large_string()), pa.scalar("", pa.large_string()))
+        ahead = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        at = 0
+        while at < len(texts):
+            until = max(at + 1, int(np.searchsorted(ahead, ahead[at] + slice_bytes, "right")) - 1)
+            yield from (np.concatenate([ids, tail]) for ids in self._encode_slice(texts.slice(at, until - at)))
+            at = until
+
+    def _encode_slice(self, part: pa.Array) -> Iterator[np.ndarray]:
+        odd = pc.match_substring_regex(part, _ODD_BLANKS).to_numpy(zero_copy_only=False) if self.split else np.ones(len(part), bool)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", part.type), part)
+        marked = pc.binary_join_element_wise(pa.scalar(_FIRST, part.type), pc.replace_substring(plain, "\n", " \n"), pa.scalar("", part.type))
+        keys = pc.split_pattern(marked, " ")
+        numbered = keys.values.dictionary_encode()
+        border, code = keys.offsets.to_numpy(), numbered.indices.to_numpy()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False)
+        found = list(map(self.young.get, words))
+        at = [i for i, f in enumerate(found) if f is None]
+        if at:
+            self._learn({words[i] for i in at})
+            young = self.young
+            for i in at:
+                found[i] = young[words[i]]
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        start = np.cumsum(size) - size
+        del keys, numbered, words, found, marked, plain
+        for first in range(0, len(part), 256):  # gathered for some texts at a time
+            last = min(first + 256, len(part))
+            own = code[border[first] : border[last]]
+            each = size[own]
+            until = np.concatenate([[0], np.cumsum(each)])
+            ids = flat[np.arange(until[-1]) + np.repeat(start[own] - until[:-1], each)]
+            for i in range(first, last):
+                if odd[i]:
+                    yield np.frombuffer(self.encode_bytes(part[i].as_py()), dtype="<u4")
+                else:
+                    yield ids[until[border[i] - border[first]] : until[border[i + 1] - border[first]]]
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
