@@ -17,9 +17,11 @@ Ids go back to the documents by a join on the word.  The most frequent words
 (``FREQUENT`` at most, a bounded list) are joined by broadcast, so a word that
 makes up a large part of all text never meets in one task.
 
-The path is the best one under the scores of the piece table; the library gives
-the same ids when it runs the same table as a unigram model.  Decoding
-concatenates pieces and bytes and gives back the text exactly.
+The path is the best one under the scores of the piece table, the one that the
+library's n-best search finds for the same table as a unigram model.  A model
+file made for merges (BPE) is used as such a table too; its merge order would
+give other ids for some words.  Decoding concatenates pieces and bytes and gives
+back the text exactly.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 rows that share a doc_id each keep their own ids; extra columns are ignored; an
@@ -76,75 +78,58 @@ def words(text: Column) -> Column:
 
 
 def edges(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, end, start, id, score) of every piece in every distinct word; positions count characters from 0."""
+    """(word, end, start, id, score) of every piece in every distinct word; positions count characters from 0.
+
+    A character that is no piece is an edge with id -1, so a path always exists.
+    """
     spark = distinct.sparkSession
     pieces = spark.createDataFrame([(p, i, s) for i, p, s in table.pieces], "piece string, id int, score double")
     n = F.length("word")
     starts = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, n))
     parts = starts.select("word", "start", F.explode(ends).alias("end")).select("word", "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
-    return parts.join(F.broadcast(pieces), "piece").select("word", "end", "start", "id", "score")  # the table's size is the vocabulary's
+    found = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")  # the table's size is the vocabulary's
+    return found.select("word", "end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
 
 
 def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
     """(word, ids) by the best path through each word's lattice."""
     listed = F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges")
-    grouped = edges(distinct, table).groupBy("word").agg(listed)
-    lattices = distinct.join(grouped, "word", "left")
-    window = table.longest
-
-    def fold(word: Column, found: Column) -> Column:
-        # state: best scores of the last `window` positions, the way into each position, next edge
-        way = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("id"))
-        start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(way).alias("ways"), F.lit(1).alias("next"))
-
-        def step(acc: Column, end: Column) -> Column:
-            first = end - F.size(acc["best"])  # position of best[0]
-
-            def reached(s: Column) -> Column:
-                return F.get(acc["best"], s - first)
-
-            count = bind(acc["next"], lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(window)), F.lit(0), lambda c, o: F.when((c == o) & (F.get(found, k - 1 + o)["end"] == end), c + 1).otherwise(c)))
-
-            def settled(c: Column) -> Column:
-                unknown = F.struct((reached(end - 1) + table.unknown).alias("score"), (end - 1).alias("start"), F.lit(-1).alias("id"))
-                here = F.slice(found, acc["next"], c)
-                single = F.exists(here, lambda e: e["start"] == end - 1)
-                options = F.transform(here, lambda e: F.struct((reached(e["start"]) + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id")))
-                # edges come by ascending start, so the first of equal scores starts earliest
-                chosen = F.aggregate(options, F.struct(F.lit(float("-inf")).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-                pick = F.when(~single & ((F.size(here) == 0) | (unknown["score"] > chosen["score"])), unknown).otherwise(chosen)
-                return bind(
-                    pick,
-                    lambda p: F.struct(
-                        F.concat(F.when(F.size(acc["best"]) >= window, F.slice(acc["best"], F.lit(2), F.lit(window - 1))).otherwise(acc["best"]), F.array(p["score"])).alias("best"),
-                        F.concat(acc["ways"], F.array(F.struct(p["start"].alias("start"), p["id"].alias("id")))).alias("ways"),
-                        (acc["next"] + c).alias("next"),
-                    ),
-                )
-
-            return bind(count, settled)
-
-        folded = F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: acc["ways"])
-        fallback = F.array(*[F.lit(i) for i in table.bytes])
-
-        def back(ways: Column) -> Column:
-            # from the last position to the first, ids in front
-            empty = F.struct(F.size(ways).alias("at"), F.array().cast("array<int>").alias("ids"))
-
-            def take(acc: Column, i: Column) -> Column:
-                w = F.get(ways, acc["at"] - 1)
-                char = F.hex(F.encode(F.substr(word, acc["at"] - 1, F.lit(1)), "UTF-8"))
+    lattices = edges(distinct, table).groupBy("word").agg(listed)
+    fallback = F.array(*[F.lit(i) for i in table.bytes])
+
+    def best_path(found: Column) -> Column:
+        """The best way into each position: its score, where it starts, and its piece."""
+        origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
+
+        def step(ways: Column, e: Column) -> Column:
+            # edges come by end and start, so ways holds all earlier positions, and maybe this one
+            way = F.struct((F.get(ways, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+
+            def placed(w: Column) -> Column:
+                better = F.concat(F.slice(ways, F.lit(1), F.size(ways) - 1), F.array(w))
+                return F.when(F.size(ways) == e["end"], F.concat(ways, F.array(w))).when(w["score"] > F.element_at(ways, -1)["score"], better).otherwise(ways)
+
+            return bind(way, placed)
+
+        return F.aggregate(found, origin, step)
+
+    def trace(word: Column, ways: Column) -> Column:
+        """Ids from the last position back to the first."""
+        end = F.struct((F.size(ways) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+
+        def take(acc: Column, i: Column) -> Column:
+            def of(w: Column) -> Column:
+                char = F.hex(F.encode(F.substr(word, i, F.lit(1)), "UTF-8"))
                 raw = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda k: F.get(fallback, F.conv(F.substr(char, k, F.lit(2)), 16, 10).cast("int")))
                 ids = F.when(w["id"] >= 0, F.array(w["id"])).otherwise(raw)
-                return F.when(acc["at"] - 1 == i, F.struct((w["start"] + 1).alias("at"), F.concat(ids, acc["ids"]).alias("ids"))).otherwise(acc)
+                return F.struct(w["start"].alias("at"), F.concat(ids, acc["ids"]).alias("ids"))
 
-            return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), empty, take, lambda acc: acc["ids"])
+            return F.when(acc["at"] == i, bind(F.get(ways, i), of)).otherwise(acc)
 
-        return bind(folded, back)
+        return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), end, take, lambda acc: acc["ids"])
 
-    none = F.array().cast("array<struct<end:int,start:int,id:int,score:double>>")
-    return lattices.select("word", fold(F.col("word"), F.coalesce("edges", none)).alias("ids"))
+    return lattices.select("word", bind(best_path(F.col("edges")), lambda ways: trace(F.col("word"), ways)).alias("ids"))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:

@@ -24,7 +24,6 @@ without features whose score is ``pi`` for every row.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.llm.scratch import materialize
+
 #: Every ASCII byte that is neither a letter nor a digit separates words.
 _SEPARATORS = bytes(b if (b >= 128 or chr(b).isalnum()) else 32 for b in range(256))
 
@@ -76,55 +77,68 @@ def words(text: str | None) -> set[bytes]:
 
 def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"positive": pdf["positive"], "words": [b" ".join(sorted(words(t))) for t in pdf["text"]]})
+        yield pd.DataFrame({"positive": pdf["positive"], "words": [[w.decode() for w in sorted(words(t))] for t in pdf["text"]]})
+
+
+@dataclass(frozen=True)
+class Sample:
+    """P and U over a common vocabulary: for each document the numbers of the features it has."""
+
+    vocabulary: list[bytes]
+    positive: list[list[int]]
+    unlabelled: list[list[int]]
+    prior: float
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> tuple[list[list[bytes]], list[list[bytes]], float]:
-    """P and U as word lists and the class prior.
+def training_sample(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Sample:
+    """The bounded training sample.
 
-    ``labels`` holds only rows that may be learned from.  U is drawn from the
-    same learnable population without looking at a label.
+    ``labels`` holds only rows that may be learned from.  U is drawn from
+    ``docs`` without looking at a label.  Word counts and the choice of features
+    are made by the executors; only the chosen features and, for each sampled
+    document, their numbers come to the driver.
     """
-    labelled = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    kept = docs.select("doc_id", "text")
-    positive = kept.join(labelled.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("positive", F.lit(1))
-    unlabelled = kept.withColumn("positive", F.lit(0))
-    parts = [p.orderBy(order, "doc_id").limit(n) for p, n in ((positive.select("doc_id", "positive"), config.max_positive), (unlabelled.select("doc_id", "positive"), config.max_unlabelled))]
-    # Only ids are ordered; the texts join the bounded id list afterwards.
-    chosen = parts[0].unionByName(parts[1])
-    rows = kept.join(chosen, "doc_id").select("positive", "text").mapInPandas(_word_sets, "positive int, words binary")
-    frequent = rows.toPandas()
-    groups = [[bytes(w).split() for w in frequent.loc[frequent["positive"] == v, "words"]] for v in (1, 0)]
-    counts = labelled.agg(F.avg("toxic")).first()[0]
-    prior = config.class_prior if config.class_prior is not None else float(counts or 0.0)
-    return groups[0], groups[1], prior
-
-
-def select_features(positive: list[list[bytes]], unlabelled: list[list[bytes]], config: ToxicityConfig) -> list[bytes]:
-    """Words whose document frequency is significantly higher or lower in P than in U."""
-    in_p, in_u = (Counter(w for d in g for w in d) for g in (positive, unlabelled))
-    n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
-    scored = []
-    for word in in_p.keys() | in_u.keys():
-        p, u = in_p[word], in_u[word]
-        if p + u < config.min_documents:
-            continue
-        pooled = (p + u) / (n_p + n_u)
-        z = (p / n_p - u / n_u) / np.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / n_p + 1 / n_u))
-        if abs(z) >= config.min_z:
-            scored.append((-abs(z), word))
-    return [w for _, w in sorted(scored)[: config.max_features]]
+    ids = docs.select("doc_id").where("doc_id is not null")
+    positive = ids.join(labelled.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    parts = [d.distinct().orderBy(order, "doc_id").limit(n).withColumn("positive", F.lit(v)) for d, n, v in ((positive, config.max_positive, 1), (ids, config.max_unlabelled, 0))]
+    chosen = materialize(parts[0].unionByName(parts[1]), "sample-ids")
+    # at most max_positive + max_unlabelled ids, so the texts needn't be shuffled
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("positive", "text")
+    rows = materialize(texts.mapInPandas(_word_sets, "positive int, words array<string>"), "sample-words")
+    vocabulary = select_features(rows, config)
+    number = {w: i for i, w in enumerate(vocabulary)}
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"positive": pdf["positive"], "features": [[number[w] for w in ws if w in number] for ws in pdf["words"]]})
+
+    found = rows.mapInPandas(numbered, "positive int, features array<int>").toPandas()
+    prior = config.class_prior if config.class_prior is not None else float(labelled.agg(F.avg("toxic")).first()[0] or 0.0)
+    groups = [found.loc[found["positive"] == v, "features"].tolist() for v in (1, 0)]
+    return Sample([w.encode() for w in vocabulary], groups[0], groups[1], prior)
+
+
+def select_features(rows: DataFrame, config: ToxicityConfig) -> list[str]:
+    """Words whose document frequency is significantly higher or lower in P than in U, the surest first."""
+    size = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
+    counts = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(F.sum("positive").alias("p"), F.count(F.lit(1)).alias("n"))
+    pooled = F.col("n") / (n_p + n_u)
+    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n_p + 1 / n_u))
+    z = F.abs(F.col("p") / n_p - (F.col("n") - F.col("p")) / n_u) / spread
+    sure = counts.where(F.col("n") >= config.min_documents).withColumn("z", z).where(F.col("z") >= config.min_z)
+    return [r["word"] for r in sure.orderBy(F.desc("z"), "word").limit(config.max_features).collect()]
 
 
 class _Sparse:
-    """Binary document-by-word matrix in compressed rows."""
+    """Binary document-by-feature matrix in compressed rows."""
 
-    def __init__(self, docs: list[list[bytes]], index: dict[bytes, int]):
-        cols = [[index[w] for w in d if w in index] for d in docs]
-        self.rows = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
-        self.cols = np.fromiter((i for c in cols for i in c), dtype=np.int64)
-        self.n, self.width = len(docs), len(index)
+    def __init__(self, docs: list[list[int]], width: int):
+        self.rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        self.cols = np.fromiter((i for d in docs for i in d), dtype=np.int64)
+        self.n, self.width = len(docs), width
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weights=w[self.cols], minlength=self.n)
@@ -137,16 +151,15 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
+def fit_nnpu(sample: Sample, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Minimise the non-negative PU risk with the logistic loss by Adam on the whole sample."""
-    base = min(max(prior, 1e-3), 1 - 1e-3)
+    base = min(max(sample.prior, 1e-3), 1 - 1e-3)
     start = float(np.log(base / (1 - base)))
-    if not positive or not unlabelled:
+    if not sample.positive or not sample.unlabelled or not sample.vocabulary:
         return ToxicityModel({}, start)
-    vocabulary = select_features(positive, unlabelled, config)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    p, u = _Sparse(positive, index), _Sparse(unlabelled, index)
-    w = np.zeros(len(index) + 1)
+    width = len(sample.vocabulary)
+    p, u = _Sparse(sample.positive, width), _Sparse(sample.unlabelled, width)
+    w = np.zeros(width + 1)
     w[-1] = start
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, config.iterations + 1):
@@ -165,7 +178,7 @@ def fit_nnpu(positive: list[list[bytes]], unlabelled: list[list[bytes]], prior:
         w -= config.learning_rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     cut = best_cut(p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1], base)
     bias = float(w[-1] - cut + np.log(config.threshold / (1 - config.threshold)))
-    return ToxicityModel({x: float(w[i]) for x, i in index.items()}, bias)
+    return ToxicityModel({x: float(v) for x, v in zip(sample.vocabulary, w)}, bias)
 
 
 def best_cut(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> float:
@@ -185,7 +198,7 @@ def best_cut(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
-    return fit_nnpu(*training_sample(docs, labels, config), config)
+    return fit_nnpu(training_sample(docs, labels, config), config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = ToxicityConfig.threshold) -> DataFrame:
