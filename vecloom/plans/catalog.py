@@ -1,6 +1,478 @@
-"""Registered queries of the vector engine and the SQL that checks each."""
+"""Registered queries of the vector engine and the DuckDB SQL that checks each.
+
+A query that SQL cannot express has no SQL and is checked by brute force in the tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecloom.functions import distance
+from vecloom.functions.hashing import memory_id, sample_priority
+from vecloom.model import MAX_POINT_BYTES, Config, Metric, is_valid, row_bytes
+from vecloom.operators import evaluate, filters, ivf, layout, points as log_ops, read, requests, search, sketch
+from vecloom.operators import memory as memory_ops
+from vecloom.plans import tables as t
+from vecloom.plans.tables import COSINE, DIM, L1, L2, LOG, PTS, REQUESTS, distance_sql, key_sql, unit_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------ exact search
+def _knn_sql(config: Config, where: str = "TRUE", k: int = 10, source: int = 0) -> str:
+    v = unit_sql("v") if config.metric is Metric.COSINE else "v"
+    q = f"(SELECT {unit_sql('embedding') if config.metric is Metric.COSINE else 'embedding'} FROM embeddings WHERE vec_id = {source})"
+    return f"""WITH {PTS}, q AS (SELECT {q} AS q), d AS (SELECT id, {distance_sql(config.metric, v, 'q.q')} AS distance FROM pts, q WHERE {where})
+SELECT id, distance FROM d ORDER BY distance, id LIMIT {k}"""
+
+
+def _stored(spark, sf_dir, config):
+    from vecloom.model import stored
+
+    return t.points(spark, sf_dir).withColumn("vector", stored(F.col("vector"), config))
+
+
+for _name, _config in (("knn_l2", L2), ("knn_l1", L1), ("knn_cosine", COSINE)):
+    register(_name, _knn_sql(_config))(lambda s, d, c=_config: search.exact(_stored(s, d, c), c, t.vector_of(s, d, 0), 10))
+
+FILTERS = {
+    "eq": {"label": "3"},
+    "ne": {"cohort": {"$ne": "yes"}},
+    "in": {"label": {"$in": ["1", "4", "7"]}},
+    "nin": {"score": {"$nin": ["5", "NaN"]}},
+    "exists": {"score": {"$exists": False}},
+    "gt": {"score": {"$gt": 40}},
+    "gte": {"score": {"$gte": 40.0}},
+    "lt": {"score": {"$lt": 12}},
+    "lte": {"score": {"$lte": 12}},
+    "and": {"parity": "odd", "$and": [{"score": {"$gt": 10, "$lt": 60}}, {"label": {"$ne": "2"}}]},
+    "or": {"$or": [{"cohort": "yes"}, {"score": {"$gte": 90}}, {"nothing": "here"}]},
+    "not": {"$not": {"$or": [{"score": {"$lt": 50}}, {"parity": "even"}]}},
+    "in_empty": {"label": {"$in": []}},
+    "nin_empty": {"label": {"$nin": []}},
+    "or_empty": {"$or": []},
+    "missing_key": {"absent": {"$ne": "x"}},
+}
+for _key, _filter in FILTERS.items():
+    register(f"knn_filter_{_key}", _knn_sql(L2, filters.sql(filters.parse(_filter), key_sql)))(lambda s, d, f=_filter: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 10, f))
+
+register("knn_k_zero", _knn_sql(L2, k=0))(lambda s, d: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 0))
+register("knn_k_over_rows", _knn_sql(L2, k=1_000_000))(lambda s, d: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 1_000_000))
+
+
+@register("knn_fields", f"WITH k AS ({_knn_sql(L2)}), {PTS} SELECT k.id, k.distance, pts.label, pts.score, pts.v[1] AS first_component FROM k JOIN pts ON pts.id = k.id")
+def knn_fields(spark, sf_dir):
+    found, _ = search.knn(t.points(spark, sf_dir), L2, t.vector_of(spark, sf_dir, 0), 10, include=["metadata", "vector"])
+    return found.select("id", "distance", F.col("metadata")["label"].alias("label"), F.col("metadata")["score"].alias("score"), F.get("vector", F.lit(0)).alias("first_component"))
+
+
+def _batch_sql(where: str, k: int = 5, queries: str = "vec_id % 20 = 0") -> str:
+    return f"""WITH {PTS}, d AS (SELECT q.vec_id AS qid, id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM d) SELECT qid, id, distance, rank FROM r WHERE rank <= {k}"""
+
+
+def _query_set(spark, sf_dir) -> list[tuple[int, list[float]]]:
+    """The stated queries: vectors whose id is divisible by 20."""
+    rows = t.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").collect()
+    return [(r[0], r[1]) for r in rows]
+
+
+register("knn_batch", _batch_sql("TRUE"))(lambda s, d: search.batch_vectors(t.points(s, d), _query_set(s, d), L2, 5))
+register("knn_batch_filtered", _batch_sql(filters.sql(filters.parse(FILTERS["and"]), key_sql)))(lambda s, d: search.batch_vectors(t.points(s, d), _query_set(s, d), L2, 5, FILTERS["and"]))
+
+
+@register("knn_batch_table", _batch_sql("TRUE", queries="vec_id < 20"))
+def knn_batch_table(spark, sf_dir):
+    queries = t.read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return search.batch(t.points(spark, sf_dir), queries, L2, 5)
+
+
+@register("normalized_vectors", f"SELECT vec_id AS id, list_reduce(list_transform({unit_sql('embedding')}, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) AS total, ({unit_sql('embedding')})[1] AS first_component FROM embeddings")
+def normalized_vectors(spark, sf_dir):
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _stored(spark, sf_dir, COSINE).select("id", total.alias("total"), F.get("vector", F.lit(0)).alias("first_component"))
+
+
+# ------------------------------------------------------------------- reads
+_ODD = {"parity": "odd", "score": {"$gte": 20}}
+_ODD_SQL = filters.sql(filters.parse(_ODD), key_sql)
+register("scan_page", f"WITH {PTS} SELECT id, label FROM pts WHERE {_ODD_SQL} AND id > 30 ORDER BY id LIMIT 25")(lambda s, d: read.scan(t.points(s, d), _ODD, after=30, limit=25, include_metadata=True).rows.select("id", F.col("metadata")["label"].alias("label")))
+register("scan_next", f'WITH {PTS}, m AS (SELECT id FROM pts WHERE {_ODD_SQL}), p AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM m WHERE id > 30) SELECT (SELECT count(*) FROM m) AS matched, (SELECT CASE WHEN max(n) > 25 THEN min(CASE WHEN n = 25 THEN id END) END FROM p) AS "next"')(lambda s, d: read.scan(t.points(s, d), _ODD, after=30, limit=25).summary)
+register("scan_count", f"WITH {PTS} SELECT count(*) AS matched FROM pts WHERE {_ODD_SQL}")(lambda s, d: read.count(t.points(s, d), _ODD))
+register("scan_exhaustive", f"WITH {PTS} SELECT id FROM pts WHERE {_ODD_SQL}")(lambda s, d: read.exhaustive(t.points(s, d), _ODD))
+
+_IDS = [7, 3, 100000000, 3, 0, 499, 100000001, 7]
+_REQUESTED = "r AS (SELECT unnest([%s]) AS id, generate_subscripts([%s], 1) - 1 AS pos)" % ((", ".join(map(str, _IDS)),) * 2)
+register("batch_get", f"WITH {PTS}, {_REQUESTED} SELECT CAST(pos AS INTEGER) AS pos, CAST(r.id AS BIGINT) AS id, pts.id IS NOT NULL AS found, label, v[2] AS second_component FROM r LEFT JOIN pts ON pts.id = r.id")(
+    lambda s, d: read.batch_get(t.points(s, d), _IDS).select("pos", "id", "found", F.col("metadata")["label"].alias("label"), F.get("vector", F.lit(1)).alias("second_component"))
+)
+register("batch_missing", f"WITH {PTS}, {_REQUESTED} SELECT CAST(pos AS INTEGER) AS pos, CAST(r.id AS BIGINT) AS id FROM r LEFT JOIN pts ON pts.id = r.id WHERE pts.id IS NULL")(lambda s, d: read.batch_missing(t.points(s, d), _IDS))
+register("get_many", f"WITH {PTS}, {_REQUESTED} SELECT CAST(pos AS INTEGER) AS pos, CAST(r.id AS BIGINT) AS id, pts.id IS NOT NULL AS found FROM r LEFT JOIN pts ON pts.id = r.id")(lambda s, d: read.get_many(t.points(s, d), _IDS).select("pos", "id", "found"))
+register("point_get", f"WITH {PTS} SELECT id, label, parity, score, v[1] AS first_component FROM pts WHERE id = 42")(
+    lambda s, d: read.get(t.points(s, d), 42).select("id", *[F.col("metadata")[k].alias(k) for k in ("label", "parity", "score")], F.get("vector", F.lit(0)).alias("first_component"))
+)
+register("point_metadata", f"WITH {PTS} SELECT label, cohort FROM pts WHERE id = 40")(lambda s, d: read.get_metadata(t.points(s, d), 40).select(*[F.col("metadata")[k].alias(k) for k in ("label", "cohort")]))
+
+# --------------------------------------------------------------- live state
+_LATEST = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, ord DESC) AS n FROM log WHERE {where})"
+
+
+def _live_sql(where: str = "TRUE") -> str:
+    return f"WITH {LOG}, n AS {_LATEST.format(where=where)} SELECT id, x, y, z, type FROM n WHERE n = 1 AND op = 'put'"
+
+
+register("live_points", _live_sql())(lambda s, d: t.flat(log_ops.live(t.log(s, d))))
+register("live_as_of", _live_sql("seq <= 300"))(lambda s, d: t.flat(log_ops.live(t.log(s, d), as_of=300)))
+
+
+@register("live_snapshot_tail", _live_sql())
+def live_snapshot_tail(spark, sf_dir):
+    log = t.log(spark, sf_dir)
+    return t.flat(log_ops.live_over(log_ops.live(log, as_of=500), log.where("seq > 500")))
+
+
+@register("delete_then_reinsert", f"WITH {LOG}, f AS (SELECT id, min(CASE WHEN op = 'delete' THEN seq * 10 + ord END) AS deleted, max(CASE WHEN op = 'put' THEN seq * 10 + ord END) AS last_put, max(seq * 10 + ord) AS last FROM log GROUP BY id) SELECT id, deleted, last_put FROM f WHERE deleted < last_put AND last = last_put")
+def delete_then_reinsert(spark, sf_dir):
+    """Live ids that were deleted once: the later put counts."""
+    log, at = t.log(spark, sf_dir), F.col("seq") * 10 + F.col("ord")
+    gone = log.where("op = 'delete'").groupBy("id").agg(F.min(at).alias("deleted"))
+    alive = log_ops.latest(log).where("op = 'put'").select("id", at.alias("last_put"))
+    return alive.join(gone, "id").where("deleted < last_put").select("id", "deleted", "last_put")
+
+
+@register("batch_order", f"WITH {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY seq, id ORDER BY ord DESC) AS n, count(*) OVER (PARTITION BY seq, id) AS operations FROM log) SELECT seq, id, ord, op, operations FROM n WHERE n = 1 AND operations > 1")
+def batch_order(spark, sf_dir):
+    """What remains of ids that one batch names more than once: the last operation."""
+    log = t.log(spark, sf_dir)
+    found = log.groupBy("seq", "id").agg(F.max_by(F.struct("ord", "op"), "ord").alias("v"), F.count(F.lit(1)).alias("operations"))
+    return found.where("operations > 1").select("seq", "id", "v.ord", "v.op", "operations")
+
+
+register("log_gaps", f"WITH {LOG} SELECT min(seq) AS first, max(seq) AS last, count(DISTINCT seq) AS commits, count(DISTINCT seq) = max(seq) - min(seq) + 1 AS contiguous FROM log")(lambda s, d: log_ops.gaps(t.log(s, d)))
+
+
+@register("delete_by_filter", f"WITH {PTS} SELECT id, label FROM pts WHERE NOT {filters.sql(filters.parse(FILTERS['or']), key_sql)}")
+def delete_by_filter(spark, sf_dir):
+    points = t.points(spark, sf_dir)
+    left = log_ops.live_over(points, log_ops.delete_by_filter(points, FILTERS["or"], seq=1))
+    return left.select("id", F.col("metadata")["label"].alias("label"))
+
+
+@register("upsert_bulk", f"WITH {PTS} SELECT id, CAST(floor(id / 100) AS BIGINT) + 5 AS seq, CAST(id % 100 AS INTEGER) AS ord, label FROM pts")
+def upsert_bulk(spark, sf_dir):
+    return log_ops.bulk_upsert(t.points(spark, sf_dir), first_seq=5).select("id", "seq", "ord", F.col("metadata")["label"].alias("label"))
+
+
+# ----------------------------------------------------------------- requests
+@register("request_lookup", f"""WITH {REQUESTS}, s AS (SELECT max(event_id) AS now FROM events), f AS (SELECT boundary, nonce, min(seq) AS seq FROM req GROUP BY ALL), k AS (SELECT * FROM f, s WHERE now - boundary <= 128)
+SELECT f.boundary, f.nonce, CASE WHEN f.boundary > now THEN 'ahead' WHEN k.seq IS NOT NULL THEN 'retained' WHEN now - f.boundary >= 128 THEN 'expired' ELSE 'unknown' END AS state, k.seq AS outcome_seq FROM f CROSS JOIN s LEFT JOIN k ON k.boundary = f.boundary AND k.nonce = f.nonce""")
+def request_lookup(spark, sf_dir):
+    first = requests.dedupe(t.requests(spark, sf_dir))
+    return requests.lookup_all(first, first, t.last_event(spark, sf_dir))
+
+
+register("request_dedupe", f"WITH {REQUESTS} SELECT boundary, nonce, min(seq) AS seq, arg_min(digest, seq) AS digest, count(*) AS arrivals, count(DISTINCT digest) > 1 AS conflict FROM req GROUP BY boundary, nonce")(lambda s, d: requests.dedupe(t.requests(s, d)))
+
+
+@register("conditional_write", f"""WITH {LOG}, c AS (SELECT floor(event_id / 50) * 50 AS boundary, md5(CAST(floor(event_id / 50) AS VARCHAR)) AS nonce, event_id % 50 AS place, user_id AS id, CAST(event_id / 10 AS BIGINT) AS revision FROM events),
+l AS (SELECT id, max(seq) AS changed FROM log WHERE seq <= 400 GROUP BY id), v AS (SELECT boundary, nonce, place, CASE WHEN revision < 272 THEN 'expired_revision' WHEN coalesce(changed, 0) > revision THEN 'stale_revision' END AS conflict FROM c LEFT JOIN l USING (id))
+SELECT CAST(boundary AS BIGINT) AS boundary, nonce, arg_min(conflict, place) FILTER (conflict IS NOT NULL) AS conflict FROM v GROUP BY boundary, nonce""".replace("CAST(event_id / 10 AS BIGINT)", "CAST(floor(event_id / 10) AS BIGINT)"))
+def conditional_write(spark, sf_dir):
+    e = t.read(spark, sf_dir, "events")
+    request = F.floor(F.col("event_id") / 50).cast("long")
+    conditions = e.select((request * 50).alias("boundary"), F.md5(request.cast("string").cast("binary")).alias("nonce"), (F.col("event_id") % 50).alias("place"), F.col("user_id").alias("id"), F.floor(F.col("event_id") / 10).cast("long").alias("revision"))
+    return requests.decide_conditions(conditions, t.log(spark, sf_dir), 400)
+
+
+@register("revision_floor", f"WITH {LOG} SELECT seq, greatest(0, seq - 128) AS floor FROM (SELECT DISTINCT seq FROM log)")
+def revision_floor(spark, sf_dir):
+    return t.log(spark, sf_dir).select("seq").distinct().select("seq", F.greatest(F.lit(0).cast("long"), F.col("seq") - requests.RETENTION).alias("floor"))
+
+
+# --------------------------------------------------------------- validation
+_ROW_BYTES = "21 + 4 * len(v) + coalesce(13 + strlen(label), 0) + 14 + strlen(parity) + coalesce(13 + strlen(score), 0) + coalesce(14 + strlen(cohort), 0)"
+register("row_bytes", f"WITH {PTS} SELECT id, CAST({_ROW_BYTES} AS BIGINT) AS bytes FROM pts")(lambda s, d: t.points(s, d).select("id", row_bytes(F.col("vector"), F.col("metadata")).alias("bytes")))
+
+
+@register("oversized_points", f"SELECT doc_id AS id, CAST(21 + 4 * 3 + 12 + strlen(text) * 4 AS BIGINT) AS bytes FROM documents WHERE 21 + 4 * 3 + 12 + strlen(text) * 4 > {MAX_POINT_BYTES}")
+def oversized_points(spark, sf_dir):
+    """Documents that a collection must refuse if it kept four copies of the text as metadata."""
+    docs = t.read(spark, sf_dir, "documents")
+    vector = F.array(*[F.lit(float(i)).cast("float") for i in range(3)])
+    size = row_bytes(vector, F.create_map(F.lit("text"), F.repeat("text", 4)))
+    return docs.select(F.col("doc_id").alias("id"), size.alias("bytes")).where(F.col("bytes") > MAX_POINT_BYTES)
+
+
+@register("invalid_vectors", "SELECT vec_id AS id, vec_id % 5 NOT IN (1, 2, 3) AS valid_l2, vec_id % 5 NOT IN (1, 2, 3, 4) AS valid_cosine FROM embeddings")
+def invalid_vectors(spark, sf_dir):
+    """Vectors spoiled by rule: NaN, infinite, one component short, zero."""
+    v, i = F.col("vector"), F.col("id") % 5
+    put = lambda x: F.transform(v, lambda e, at: F.when(at == 3, F.lit(x).cast("float")).otherwise(e))
+    spoiled = F.when(i == 1, put(float("nan"))).when(i == 2, put(float("inf"))).when(i == 3, F.slice(v, 1, DIM - 1)).when(i == 4, F.transform(v, lambda e: F.lit(0.0).cast("float"))).otherwise(v)
+    rows = t.points(spark, sf_dir).select("id", spoiled.alias("vector"))
+    return rows.select("id", is_valid(F.col("vector"), L2).alias("valid_l2"), is_valid(F.col("vector"), COSINE).alias("valid_cosine"))
+
+
+# ------------------------------------------------------- sampling, training
+def _mix_sql(z: str) -> str:
+    m = "18446744073709551616::UHUGEINT"
+    a = f"(({z})::UHUGEINT + 11400714819323198485::UHUGEINT) % {m}"
+    b = f"((xor(({a})::UBIGINT, ({a})::UBIGINT >> 30))::UHUGEINT * 13787848793156543929::UHUGEINT) % {m}"
+    c = f"((xor(({b})::UBIGINT, ({b})::UBIGINT >> 27))::UHUGEINT * 10723151780598845931::UHUGEINT) % {m}"
+    return f"xor(({c})::UBIGINT, ({c})::UBIGINT >> 31)"
+
+
+_PRIORITY = f"""mixed AS MATERIALIZED (SELECT vec_id AS id, embedding AS v, {_mix_sql('vec_id::UBIGINT')} AS m FROM embeddings),
+prio AS MATERIALIZED (SELECT id, v, {_mix_sql('xor(42::UBIGINT, m)')} AS p FROM mixed)"""
+register("sample_priority", f"WITH {_PRIORITY} SELECT id, CAST(p::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS priority FROM prio")(lambda s, d: t.points(s, d).select("id", sample_priority(F.col("id"), ivf.SEED).alias("priority")))
+register("training_sample", f"WITH {_PRIORITY} SELECT id, CAST(p::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS priority FROM prio ORDER BY p, id LIMIT 64")(lambda s, d: ivf.training_sample(t.points(s, d), 64).select("id", "priority"))
+
+_CENTERS, _SAMPLE = 8, 256
+
+
+def _train_sql(metric: Metric, iterations: int = 2) -> str:
+    """CTEs s (sample with rank) and c0, c1, ... (centers after each iteration)."""
+    parts = [_PRIORITY, f"s AS MATERIALIZED (SELECT id, v, row_number() OVER (ORDER BY p, id) AS r FROM prio ORDER BY p, id LIMIT {_SAMPLE})", f"c0 AS MATERIALIZED (SELECT CAST(r - 1 AS INTEGER) AS cid, v AS center FROM s WHERE r <= {_CENTERS})"]
+    for i in range(iterations):
+        d = distance_sql(distance.routing_metric(metric), "s.v", "c.center")
+        parts.append(f"a{i} AS MATERIALIZED (SELECT s.r, s.v, arg_min(c.cid, struct_pack(d := {d}, c := c.cid)) AS cid FROM s, c{i} c GROUP BY s.r, s.v)")
+        parts.append(f"e{i} AS (SELECT cid, r, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{i})")
+        if metric is Metric.MANHATTAN:
+            value = "list_sort(list(x))[CAST(floor(count(*) / 2) AS BIGINT) + 1]"
+        else:
+            value = "CAST(list_reduce(list(CAST(x AS DOUBLE) ORDER BY r), lambda p, q: p + q) / count(*) AS FLOAT)"
+        parts.append(f"m{i} AS (SELECT cid, pos, {value} AS x FROM e{i} GROUP BY cid, pos)")
+        parts.append(f"n{i} AS (SELECT cid, list(x ORDER BY pos) AS center FROM m{i} GROUP BY cid)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cid, coalesce(n.center, c.center) AS center FROM c{i} c LEFT JOIN n{i} n USING (cid))")
+    return ",\n".join(parts)
+
+
+def _trained(spark, sf_dir, config) -> np.ndarray:
+    sample = ivf.training_sample(t.points(spark, sf_dir), _SAMPLE).select("vector").collect()
+    return ivf.train_bounded(config.metric, np.array([r[0] for r in sample], dtype=np.float32), _CENTERS)
+
+
+def _center_rows(spark, centers) -> DataFrame:
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    return spark.createDataFrame(rows, "cid int, center array<float>").select("cid", F.posexplode("center").alias("axis", "value"))
+
+
+for _name, _config in (("kmeans_mean", L2), ("kmeans_median", L1)):
+    register(_name, f"WITH {_train_sql(_config.metric)} SELECT cid, CAST(generate_subscripts(center, 1) - 1 AS INTEGER) AS axis, unnest(center) AS value FROM c2")(lambda s, d, c=_config: _center_rows(s, _trained(s, d, c)))
+
+_ASSIGNED_SQL = f"WITH {_train_sql(Metric.SQUARED_EUCLIDEAN)}, {PTS}, assigned AS MATERIALIZED (SELECT pts.id, arg_min(c.cid, struct_pack(d := {distance_sql(Metric.SQUARED_EUCLIDEAN, 'pts.v', 'c.center')}, c := c.cid)) AS cid FROM pts, c2 c GROUP BY pts.id)"
+register("ivf_assign", f"{_ASSIGNED_SQL} SELECT id, cid FROM assigned")(lambda s, d: ivf.assign(t.points(s, d), _trained(s, d, L2), Metric.SQUARED_EUCLIDEAN).select("id", "cid"))
+
+
+@register(
+    "farthest_point_init",
+    f"""WITH RECURSIVE {PTS}, base AS MATERIALIZED (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS i FROM pts), n AS (SELECT count(*) AS n FROM pts),
+f(step, chosen, i) AS (SELECT 0, [42 % n], 42 % n FROM n UNION ALL
+SELECT step + 1, list_append(chosen, nxt), nxt FROM (SELECT step, chosen, (SELECT arg_max(b.i, struct_pack(gap := (SELECT min({distance_sql(Metric.SQUARED_EUCLIDEAN, 'b.v', 'o.v')}) FROM base o WHERE list_contains(f.chosen, o.i)), lower := -b.i)) FROM base b WHERE NOT list_contains(f.chosen, b.i)) AS nxt FROM f WHERE step < 5))
+SELECT CAST(step AS INTEGER) AS step, CAST(i AS BIGINT) AS row FROM f""",
+)
+def farthest_point_init(spark, sf_dir):
+    """The resident index's start; the rows are held by the driver under its bound."""
+    rows = t.points(spark, sf_dir).select("id", "vector").orderBy("id").limit(100_000).collect()
+    chosen = ivf.farthest_first(Metric.SQUARED_EUCLIDEAN, np.array([r[1] for r in rows], dtype=np.float32), 6, ivf.SEED)
+    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(chosen)], "step int, row long")
+
+
+def _index(spark, sf_dir) -> ivf.Index:
+    centers = _trained(spark, sf_dir, L2)
+    return ivf.Index(L2, centers, ivf.assign(t.points(spark, sf_dir), centers, L2.metric))
+
+
+def _ivf_sql(probes: str, where: str = "TRUE", k: int = 10) -> str:
+    q = "(SELECT embedding FROM embeddings WHERE vec_id = 5)"
+    return f"""{_ASSIGNED_SQL}, q AS (SELECT {q} AS q), o AS MATERIALIZED (SELECT cid, row_number() OVER (ORDER BY {distance_sql(Metric.SQUARED_EUCLIDEAN, 'center', 'q.q')}, cid) AS r FROM c2, q),
+m AS (SELECT pts.id, v, a.cid, o.r FROM pts JOIN assigned a ON a.id = pts.id JOIN o ON o.cid = a.cid WHERE {where}),
+b AS (SELECT o.r, coalesce(sum(n) OVER (ORDER BY o.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o LEFT JOIN (SELECT r, count(*) AS n FROM m GROUP BY r) c ON c.r = o.r)
+SELECT id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.q')} AS distance FROM m, q WHERE r IN (SELECT r FROM b WHERE {probes}) ORDER BY distance, id LIMIT {k}"""
+
+
+_SPARSE = {"cohort": "yes"}
+_SPARSE_SQL = filters.sql(filters.parse(_SPARSE), key_sql)
+register("ivf_search", _ivf_sql("r <= 2"))(lambda s, d: ivf.probe(_index(s, d), t.vector_of(s, d, 5), 10, 2))
+register("ivf_filtered", _ivf_sql("r <= 2", _SPARSE_SQL))(lambda s, d: ivf.probe(_index(s, d), t.vector_of(s, d, 5), 10, 2, _SPARSE))
+register("ivf_adaptive", _ivf_sql("r <= 1 OR before < 20", _SPARSE_SQL, 20))(lambda s, d: ivf.adaptive(_index(s, d), t.vector_of(s, d, 5), 20, 1, _SPARSE))
+register("ivf_full_probe_equals_exact", _knn_sql(L2, source=5))(lambda s, d: ivf.probe(_index(s, d), t.vector_of(s, d, 5), 10, _CENTERS))
+
+
+@register("nearest_centers", f"WITH {_train_sql(Metric.SQUARED_EUCLIDEAN)}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 5) SELECT cid, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'center', 'q.q')} AS score FROM c2, q ORDER BY score, cid LIMIT 3")
+def nearest_centers(spark, sf_dir):
+    found = ivf.nearest_centers(L2.metric, L2.query(t.vector_of(spark, sf_dir, 5)), _trained(spark, sf_dir, L2), 3)
+    return spark.createDataFrame(found, "cid int, score double")
+
+
+# ------------------------------------------------------------------ sketches
+def _packed(spark, sf_dir) -> DataFrame:
+    return sketch.blocks(t.points(spark, sf_dir), rows=20, per_pack=4)
+
+
+_PACKED = f"""{PTS}, packed AS MATERIALIZED (SELECT *, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 20) AS INTEGER) AS no FROM pts),
+pk AS MATERIALIZED (SELECT *, CAST(floor(no / 4) AS INTEGER) AS pack, no % 4 AS block FROM packed),
+ax AS MATERIALIZED (SELECT id, pack, block, CAST(unnest(v) AS DOUBLE) AS x, generate_subscripts(v, 1) - 1 AS axis FROM pk),
+st AS MATERIALIZED (SELECT pack, axis, CAST(min(x) AS FLOAT) AS minimum, CAST(CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 31.0 ELSE 1.0 END AS FLOAT) AS scale FROM ax GROUP BY pack, axis),
+cd AS MATERIALIZED (SELECT ax.id, ax.pack, ax.block, ax.axis, CAST(least(greatest(round_even((x - CAST(minimum AS DOUBLE)) / CAST(scale AS DOUBLE), 0), 0), 31) AS INTEGER) AS code, CAST(minimum AS DOUBLE) AS lo, CAST(scale AS DOUBLE) AS sc FROM ax JOIN st ON st.pack = ax.pack AND st.axis = ax.axis)"""
+_SKETCH_Q = "q AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS axis FROM embeddings WHERE vec_id = 9)"
+_APPROX = f"""{_SKETCH_Q}, ap AS MATERIALIZED (SELECT cd.id, pack, block, list_reduce(list((lo + sc * code - q.x) * (lo + sc * code - q.x) ORDER BY cd.axis), lambda a, b: a + b) AS score FROM cd JOIN q ON q.axis = cd.axis GROUP BY cd.id, pack, block),
+best AS MATERIALIZED (SELECT pack, block, min(score) AS score FROM ap GROUP BY pack, block ORDER BY score, pack, block LIMIT 6)"""
+register("sketch_stats", f"WITH {_PACKED} SELECT pack, CAST(axis AS INTEGER) AS axis, minimum, scale FROM st")(
+    lambda s, d: sketch.stats(_packed(s, d)).select("pack", F.posexplode(F.arrays_zip("minima", "scales")).alias("axis", "p")).select("pack", "axis", F.col("p.minima").alias("minimum"), F.col("p.scales").alias("scale"))
+)
+register("sketch_codes", f"WITH {_PACKED} SELECT id, pack, CAST(block AS INTEGER) AS block, CAST(axis AS INTEGER) AS axis, code FROM cd")(
+    lambda s, d: sketch.sketched(_packed(s, d)).select("id", "pack", F.col("block").cast("int").alias("block"), F.posexplode("codes").alias("axis", "code")).withColumn("code", F.col("code").cast("int"))
+)
+register("sketch_route", f"WITH {_PACKED}, {_APPROX} SELECT pack, CAST(block AS INTEGER) AS block, score FROM best")(lambda s, d: sketch.route(sketch.sketched(_packed(s, d)), L2, t.vector_of(s, d, 9), 6).withColumn("block", F.col("block").cast("int")))
+register("sketch_rerank", f"WITH {_PACKED}, {_APPROX} SELECT pk.id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'pk.v', '(SELECT embedding FROM embeddings WHERE vec_id = 9)')} AS distance FROM pk SEMI JOIN best ON best.pack = pk.pack AND best.block = pk.block ORDER BY distance, id LIMIT 10")(
+    lambda s, d: sketch.selective(sketch.sketched(_packed(s, d)), L2, t.vector_of(s, d, 9), 10, 6)
+)
+register("sketch_full_equals_exact", _knn_sql(L2, source=9))(lambda s, d: sketch.selective(sketch.sketched(_packed(s, d)), L2, t.vector_of(s, d, 9), 10, 10**6))
+register("pack_lower_bound", f"WITH {_PACKED}, {_SKETCH_Q} SELECT pack, list_reduce(list(g * g ORDER BY axis), lambda a, b: a + b) AS bound FROM (SELECT pack, st.axis, greatest(CAST(minimum AS DOUBLE) - q.x, q.x - (CAST(minimum AS DOUBLE) + CAST(scale AS DOUBLE) * 31.0), 0.0) AS g FROM st JOIN q ON q.axis = st.axis) GROUP BY pack")(
+    lambda s, d: sketch.stats(_packed(s, d)).select("pack", sketch.lower_bound(L2, t.vector_of(s, d, 9)).alias("bound"))
+)
+register("routed_dictionary", f"WITH {_PACKED} SELECT pack, string_agg(score, ',' ORDER BY score) AS vals FROM (SELECT DISTINCT pack, score FROM pk WHERE score IS NOT NULL) GROUP BY pack")(lambda s, d: sketch.routed_dictionary(_packed(s, d), "score").select("pack", F.array_join("values", ",").alias("vals")))
+
+
+@register("routed_codes", f"WITH {_PACKED}, u AS (SELECT DISTINCT pack, score FROM pk WHERE score IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY score) - 1 AS code FROM u) SELECT pk.id, CAST(coalesce(n.code, 254) AS INTEGER) AS code FROM pk LEFT JOIN n ON n.pack = pk.pack AND n.score = pk.score")
+def routed_codes(spark, sf_dir):
+    packed = _packed(spark, sf_dir)
+    joined = packed.join(sketch.routed_dictionary(packed, "score"), "pack", "left")
+    return joined.select("id", sketch.routed_code(F.col("metadata")["score"], F.col("values")).alias("code"))
+
+
+@register("span_choice")
+def span_choice(spark, sf_dir):
+    """Reads chosen for ranked blocks under the serving budget; a decision over a bounded list."""
+    ranked = sketch.route(sketch.sketched(_packed(spark, sf_dir)), L2, t.vector_of(spark, sf_dir, 9), 60).collect()
+    spans = sketch.choose_spans([(f"pack-{r['pack']:05d}", int(r["block"]) * 6000, 6000) for r in ranked], requests=3, byte_budget=40_000)
+    return spark.createDataFrame(spans, "object string, start long, length long")
+
+
+_RESIDENT = Config(DIM, resident_filter=("parity", "odd"))
+register("resident_search", _knn_sql(L2, "parity = 'odd'"))(lambda s, d: search.resident(t.points(s, d), _RESIDENT, t.vector_of(s, d, 0), 10, {"parity": "odd"}))
+
+# -------------------------------------------------------------------- layout
+_LAYOUT = f"{_ASSIGNED_SQL}, b AS MATERIALIZED (SELECT id, cid, CAST(floor((row_number() OVER (PARTITION BY cid ORDER BY id) - 1) / 170) AS INTEGER) AS block FROM assigned)"
+register("cluster_layout", f"{_LAYOUT} SELECT cid, block, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM b GROUP BY cid, block")(lambda s, d: layout.cluster_layout(_index(s, d).assigned))
+
+
+@register("cluster_packs")
+def cluster_packs(spark, sf_dir):
+    """Packs of the clustered layout: a running choice over clusters."""
+    return layout.packs(layout.cluster_layout(_index(spark, sf_dir).assigned)).select("cid", "block", "pack")
+
+
+@register("posting_merge_due", f"""WITH {LOG}, e AS (SELECT CAST(id % 16 AS INTEGER) AS cid, CAST(seq % 9 AS INTEGER) AS extent, id, seq, ord FROM log WHERE op = 'put'), l AS (SELECT id, max(seq * 10 + ord) AS last FROM log GROUP BY id),
+x AS (SELECT cid, extent, count(*) AS rows, count(CASE WHEN seq * 10 + ord = last THEN 1 END) AS current FROM e JOIN l USING (id) GROUP BY cid, extent)
+SELECT cid, count(*) AS extents, count(CASE WHEN current BETWEEN 1 AND 509 THEN 1 END) AS small, count(CASE WHEN current = 0 THEN 1 END) AS dead, count(CASE WHEN current BETWEEN 1 AND 509 THEN 1 END) > 3 OR count(CASE WHEN current = 0 THEN 1 END) >= 16 AS due FROM x GROUP BY cid""")
+def posting_merge_due(spark, sf_dir):
+    log = t.log(spark, sf_dir)
+    newest = log_ops.latest(log).select("id", F.col("seq").alias("s"), F.col("ord").alias("o"))
+    rows = log.where("op = 'put'").join(newest, "id").select((F.col("id") % 16).cast("int").alias("cid"), (F.col("seq") % 9).cast("int").alias("extent"), ((F.col("seq") == F.col("s")) & (F.col("ord") == F.col("o"))).alias("is_current"))
+    extents = rows.groupBy("cid", "extent").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_current"), 1)).alias("current"))
+    return layout.merge_due(extents)
+
+
+_VERSIONS = f"{LOG}, ver AS MATERIALIZED (SELECT id, seq * 10 + ord AS seq, op FROM log), cur AS MATERIALIZED (SELECT id, max(seq) AS seq FROM ver GROUP BY id)"
+
+
+def _versions(spark, sf_dir):
+    log = t.log(spark, sf_dir).select("id", (F.col("seq") * 10 + F.col("ord")).alias("seq"), "op")
+    return log, log.groupBy("id").agg(F.max("seq").alias("seq"))
+
+
+@register("block_liveness", f"WITH {_VERSIONS} SELECT CAST(floor(ver.seq / 2040) AS INTEGER) AS pack, CAST(floor(ver.seq / 170) % 12 AS INTEGER) AS block, count(*) AS rows, count(cur.id) AS live FROM ver LEFT JOIN cur ON cur.id = ver.id AND cur.seq = ver.seq GROUP BY ALL")
+def block_liveness(spark, sf_dir):
+    log, current = _versions(spark, sf_dir)
+    placed = log.select("id", "seq", F.floor(F.col("seq") / 2040).cast("int").alias("pack"), (F.floor(F.col("seq") / 170) % 12).cast("int").alias("block"))
+    return layout.liveness(placed, current)
+
+
+@register("uncovered_rows", f"WITH {_VERSIONS} SELECT id, seq FROM cur WHERE NOT EXISTS (SELECT 1 FROM ver WHERE ver.id = cur.id AND ver.seq = cur.seq AND ver.op = 'put' AND ver.seq <= 6000)")
+def uncovered_rows(spark, sf_dir):
+    log, current = _versions(spark, sf_dir)
+    return layout.uncovered(current, log.where("op = 'put' AND seq <= 6000"))
+
+
+@register("vector_local_layout")
+def vector_local_layout(spark, sf_dir):
+    """Leaves of a balanced recursive split within each sealed group of 512 ids; iterative, so not SQL."""
+    sealed = t.points(spark, sf_dir).withColumn("seal", F.floor(F.col("id") / 512).cast("int"))
+    return layout.vector_local(sealed)
+
+
+# ---------------------------------------------------------------- evaluation
+def _recalls(spark, sf_dir) -> DataFrame:
+    queries, index = _query_set(spark, sf_dir), _index(spark, sf_dir)
+    truth = search.batch_vectors(index.assigned, queries, L2, 5)
+    found = search.batch_vectors(index.assigned.where("cid < 4"), queries, L2, 5)
+    return evaluate.recall(found, truth)
+
+
+_RECALLS = f"""{_ASSIGNED_SQL}, d AS MATERIALIZED (SELECT q.vec_id AS qid, pts.id, a.cid, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts JOIN assigned a ON a.id = pts.id, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
+truth AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS n FROM d) WHERE n <= 5),
+found AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS n FROM d WHERE cid < 4) WHERE n <= 5),
+rec AS (SELECT t.qid, count(*) AS k, count(f.id) AS hits, count(f.id) / count(*) AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.id = t.id GROUP BY t.qid)"""
+register("recall_at_k", f"{_RECALLS} SELECT qid, k, hits, recall FROM rec")(_recalls)
+register("recall_summary", f"{_RECALLS} SELECT round(avg(recall), 9) AS mean, quantile_disc(recall, 0.05) AS p5, avg(CASE WHEN k < 5 THEN 1.0 ELSE 0.0 END) AS short FROM rec")(lambda s, d: evaluate.summary(_recalls(s, d), 5).withColumn("mean", F.round("mean", 9)))
+register("latency_percentiles", "SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")(lambda s, d: evaluate.latency(t.read(s, d, "events")))
+
+# ------------------------------------------------------- memory, collections
+_SCOPE = "'conv-' || CAST(conv_id AS VARCHAR)"
+_MEMORY_ID = f"CAST(('0x' || substr(sha256({_SCOPE} || chr(0) || text), 1, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT)"
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    turns = t.read(spark, sf_dir, "conversations").where("text is not null")
+    return turns.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("scope"), "text", "role")
+
+
+register("memory_ids", f"SELECT DISTINCT {_SCOPE} AS scope, {_MEMORY_ID} AS id FROM conversations WHERE text IS NOT NULL")(lambda s, d: _turns(s, d).select("scope", memory_id(F.col("scope"), F.col("text")).alias("id")).distinct())
+register("memory_count", f"SELECT count(DISTINCT {_MEMORY_ID}) AS matched FROM conversations WHERE {_SCOPE} = 'conv-1' AND text IS NOT NULL")(lambda s, d: memory_ops.count(memory_ops.remember(_turns(s, d), DIM, ["role"]), "conv-1"))
+
+
+@register("memory_recall")
+def memory_recall(spark, sf_dir):
+    """The most similar memories of a conversation; the embedder hashes words, which SQL doesn't do."""
+    points = memory_ops.remember(_turns(spark, sf_dir), DIM, ["role"])
+    return memory_ops.recall(points, COSINE, "how are the things", "conv-1", 5).select("id", "text", "score", F.col("tags")["role"].alias("role"))
+
+
+@register("memory_forget", f"SELECT DISTINCT {_MEMORY_ID} AS id FROM conversations WHERE {_SCOPE} <> 'conv-1' AND text IS NOT NULL")
+def memory_forget(spark, sf_dir):
+    points = memory_ops.remember(_turns(spark, sf_dir), DIM, ["role"])
+    return log_ops.live_over(points, memory_ops.forget(points, 1, scope="conv-1")).select("id")
+
+
+@register("collection_catalog", "SELECT * FROM (VALUES ('alpha', 64, 'squared_euclidean', 'parity', 'odd', 'label,score', 1), ('beta', 3, 'cosine', NULL, NULL, '', 2)) v(name, dimensions, metric, resident_key, resident_value, routed_keys, generation)")
+def collection_catalog(spark, sf_dir):
+    """Two collections, one of them deleted and created anew, listed from a catalog folder."""
+    import uuid
+
+    from vecloom.sources.collections import Collections
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom"
+    catalog = Collections(spark, f"{root}/catalog-{uuid.uuid4().hex}")
+    catalog.create(Config(DIM, name="alpha", resident_filter=("parity", "odd"), routed_keys=("score", "label")))
+    catalog.create(Config(3, Metric.COSINE, "beta"))
+    catalog.delete("beta")
+    catalog.create(Config(3, Metric.COSINE, "beta"))
+    return catalog.table().withColumn("routed_keys", F.array_join("routed_keys", ","))
