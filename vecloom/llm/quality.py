@@ -56,24 +56,29 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 QUANTILES = {"q25": 25, "q50": 50, "q75": 75}
 
 
-def features(text: Column) -> list[Column]:
-    """Base measurements of a whole text, as columns of one struct."""
+#: Columns that measuring adds; an input column of that name is replaced.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def features(text: Column) -> Column:
+    """Base measurements of a whole text as one struct."""
     whole = F.coalesce(text, F.lit(""))
-    w = bind(words(text), lambda x: F.struct(F.size(x).alias("n_words"), F.length(F.array_join(x, "")).alias("word_chars"), repeated_words(x).alias("n_repeat_words")))
-    lines = bind(lines_with_a_word(text), lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     symbols = F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))
-    return [w.alias("w"), lines.alias("l"), symbols.alias("n_symbols")]
-
-
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed."""
-    own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
-    kept = [c for c in docs.columns if c.lower() not in own and c not in ("w", "l")]
-    found = docs.select(*[F.col(f"`{c}`") for c in kept], *features(F.col(text)))
-    found = found.select(
-        *[F.col(f"`{c}`") for c in kept],
-        *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")],
-    )
+
+    def of_words(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"))
+
+    def of_lines(x: Column) -> Column:
+        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+
+    return F.struct(bind(words(text), of_words).alias("words"), bind(lines_with_a_word(text), of_lines).alias("lines"), symbols.cast("long").alias("n_symbols"))
+
+
+def measured(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with the MEASURED columns."""
+    place = {"n_words": "words.n_words", "word_chars": "words.word_chars", "n_symbols": "n_symbols", "n_lines": "lines.n_lines", "n_dup_lines": "lines.n_dup_lines", "n_repeat_words": "words.n_repeat_words"}
+    found = rows.select("*", features(text).alias("measured_text"))
+    found = found.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"measured_text.{p}").alias(c) for c, p in place.items()])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
@@ -132,6 +137,19 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return used.groupBy("lang_key", "source_key").agg(*columns)
 
 
+def _judged(docs: DataFrame, text: str, lang: str, source: str, carry: list[str]) -> DataFrame:
+    """(row, MEASURED columns, kept): ``row`` holds the carried columns, so no name of theirs can clash."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), group_key(lang).alias("lang_key"), group_key(source).alias("source_key"), F.col(f"`{text}`").alias("whole_text"))
+    found = materialize(measured(keyed, F.col("whole_text")).drop("whole_text"), "measured")
+    cutoffs = materialize(thresholds(sketches(found)), "thresholds")
+    joined = found.join(cutoffs, ["lang_key", "source_key"], "left")
+    fine = F.lit(True)
+    for m in MEASURES:
+        fine = fine & (value(m) <= F.col(f"high_{m.name}")) & (value(m) >= F.col(f"low_{m.name}"))
+    # a group of which no document passes the base rules has no thresholds
+    return joined.select("row", *MEASURED, (~F.col("base_failed") & F.coalesce(fine, F.lit(True))).alias("kept"))
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """The documents (columns ``carry``, all by default) with their measurements and ``kept``.
 
@@ -139,22 +157,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     the joined filter both read it.  The thresholds are a small table whose size
     Spark knows when it chooses the join.
     """
-    keyed = docs.withColumn("lang_key", group_key(lang)).withColumn("source_key", group_key(source))
-    found = measured(keyed, text)
-    if carry is not None:
-        own = ("lang_key", "source_key", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed")
-        found = found.select(*[c for c in carry if c not in own], *own)
-    found = materialize(found, "measured")
-    cutoffs = materialize(thresholds(sketches(found)), "thresholds")
-    joined = found.join(cutoffs, ["lang_key", "source_key"], "left")
-    fine = F.lit(True)
-    for m in MEASURES:
-        fine = fine & (value(m) <= F.col(f"high_{m.name}")) & (value(m) >= F.col(f"low_{m.name}"))
-    # a group of which no document passes the base rules has no thresholds
-    kept = ~F.col("base_failed") & F.coalesce(fine, F.lit(True))
-    return joined.withColumn("kept", kept).drop("lang_key", "source_key", *[f"{s}_{m.name}" for m in MEASURES for s in ("high", "low")])
+    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in (*MEASURED, "kept")]
+    return _judged(docs, text, lang, source, carried).select("row.*", *MEASURED, "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that all rules keep, with their own columns."""
-    return judge(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    """The documents that all rules keep, with exactly their own columns."""
+    return _judged(docs, "text", "lang", "source", docs.columns).where("kept").select("row.*")

@@ -149,7 +149,6 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, text: str = "text", token: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret replaced by ``token``; texts without one are unchanged."""
-    scanned = scan(docs, text)
-    hidden = F.when(F.size("secrets") > 0, redact(F.col(text), F.col("secrets"), token)).otherwise(F.col(text))
-    return scanned.withColumn(text, hidden).drop("secrets")
+    """``docs`` with every secret replaced by ``token``; texts without one, and nulls, are unchanged."""
+    own = F.col(text)
+    return docs.withColumn(text, bind(found_spans(own), lambda found: F.when(F.size(found) > 0, redact(own, found, token)).otherwise(own)))

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.scratch import materialize
@@ -201,8 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     return fit_nnpu(training_sample(docs, labels, config), config)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = ToxicityConfig.threshold) -> DataFrame:
-    """``docs`` with ``score`` (double) and ``predicted`` (int); clashing input columns are replaced."""
+def score_of(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
+    """The score of a text column, computed in Arrow batches with the shipped model."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -211,10 +211,20 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold:
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    scored = docs.withColumn("score", toxic_score(F.col(text)))
+    return toxic_score(F.col(text))
+
+
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = ToxicityConfig.threshold) -> DataFrame:
+    """``docs`` with ``score`` (double) and ``predicted`` (int); clashing input columns are replaced."""
+    scored = docs.withColumn("score", score_of(docs, model, text))
     return scored.withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 
 
+def keep(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = ToxicityConfig.threshold) -> DataFrame:
+    """The documents whose score is below the threshold, with exactly their own columns."""
+    return docs.where(score_of(docs, model, text) < F.lit(threshold))
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     """Rows whose label may be learned: crc32 of the id as text, modulo 3, is not 1."""
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
