@@ -7,6 +7,7 @@ is written as Parquet in the shared folder and reread as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vecloom.llm import packing, quality, queries, scratch, secrets, simhash, toxicity
 
@@ -20,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from labels of documents that are still there."""
     labels = toxicity.learnable(queries.table(spark, sf_dir, "labels"))
     model = toxicity.train(docs, labels)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced; n_chars follows the text."""
-    return secrets.mask(docs).withColumn("n_chars", secrets.F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return secrets.mask(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
