@@ -694,3 +694,26 @@ def test_components(spark):
             parent[y] = x
     assert found == {i: root(i) for i in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ------------------------------------------------------------- rows without ids
+def test_rows_without_ids(spark):
+    big = 2**60 + 1
+    rows = [(None, "a lone text", "en", "s"), (big, "a lone text", None, None), (None, None, "en", "s"), (big + 1, "other words here", "en", "s"), (big + 1, "other words here", "en", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    n = len(rows)
+    assert sharding.assign(table, ["doc_id"], ["a", "b"], 101).where("shard is not null").count() == n
+    assert toxicity.score(table, toxicity.ToxicityModel({b"a": 1.0}, 0.0)).where("score is not null").count() == n
+    assert quality.judge(table).count() == pii.scan(table).count() == secrets.scan(table).count() == n
+    found = simhash.near_duplicates(table).collect()
+    assert sorted((r["component_id"] is None, r["doc_id"] is None) for r in found).count((True, True)) == 1 and len(found) == n
+    assert {r["component_id"] for r in found if r["doc_id"]} == {big, big + 1}
+    assert simhash.keep_one(table).count() == n
+    packed = packing.pack(table, BPE).collect()
+    assert sorted(str(r["doc_id"]) for r in packed) == sorted(str(r[0]) for r in rows)
+    assert sentencepiece_lattice.encode(table, queries.tokenizer_path("piece_bpe_32k.model")).count() == n
+    with pytest.raises(Exception, match="without an id"):
+        token_files.write(table, BPE, folder(spark, "refused"))
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    links = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(vectors).collect()}
+    assert links == {None: (0, None), 1: (1, 1), 2: (1, 1)}

@@ -25,7 +25,7 @@ least member of its own cluster), never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and those with a null label, link with nothing and are returned as
-their own component; vectors of different lengths never link; repeated rows
+their own component; a vector without an id links with nothing and has no component; vectors of different lengths never link; repeated rows
 count as separate vectors; an empty table gives no rows.
 """
 
@@ -99,25 +99,30 @@ def valid(vector: str = "embedding", label: str = "label") -> F.Column:
 
 
 def _keyed(batches: Iterator[pd.DataFrame], tables_by_dim: dict[int, list[list[int]]], seed: int) -> Iterator[pd.DataFrame]:
-    """One row a class and table: the table's key bits as bytes."""
+    """One row a class and table: the table's key bits, the whole code, and the stored correction factor."""
     for pdf in batches:
         for dim, part in pdf.groupby(pdf["v"].map(len)):
             x = np.stack(part["v"].to_numpy()).astype(np.float64)
-            signs, _ = encode(x / np.linalg.norm(x, axis=1, keepdims=True), seed)
+            signs, correction = encode(x / np.linalg.norm(x, axis=1, keepdims=True), seed)
+            codes = [c.tobytes() for c in np.packbits(signs, axis=1)]
             for t, bits in enumerate(tables_by_dim[int(dim)]):
                 keys = np.packbits(signs[:, bits], axis=1)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "label": part["label"].to_numpy(), "v": part["v"].to_numpy(), "dim": np.int32(dim), "tab": np.int32(t), "key": [k.tobytes() for k in keys]})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "label": part["label"].to_numpy(), "v": part["v"].to_numpy(), "code": codes, "correction": correction, "dim": np.int32(dim), "tab": np.int32(t), "key": [k.tobytes() for k in keys]})
 
 
 def compare(left: pd.DataFrame, right: pd.DataFrame | None, tables: list[list[int]], table: int, config: EmbedConfig) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Linked pairs (i in left, j in right), estimated pairs and recomputed pairs.  ``right`` None: within ``left``."""
+    """Linked pairs (i in left, j in right), pairs within their bounds and recomputed pairs.  ``right`` None: within ``left``.
+
+    The estimate takes the stored code and correction factor of the left vector
+    and the rotated right one.
+    """
 
     def prepared(pdf: pd.DataFrame):
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
-        unit = x / norm[:, None]
-        signs, correction = encode(unit, config.seed)
-        return x, norm, unit @ rotation(x.shape[1], config.seed).T, signs, correction
+        turned = (x / norm[:, None]) @ rotation(x.shape[1], config.seed).T
+        codes = np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(len(x), -1)
+        return x, norm, turned, np.unpackbits(codes, axis=1)[:, : x.shape[1]].astype(bool), pdf["correction"].to_numpy()
 
     a = prepared(left)
     b = a if right is None else prepared(right)
@@ -164,7 +169,7 @@ def links(classes: DataFrame, config: EmbedConfig = EmbedConfig()) -> DataFrame:
     block = config.block
     typed = classes.schema["label"].dataType.simpleString()
     element = classes.schema["v"].dataType.simpleString()
-    rows = classes.select("rep", "copies", "label", "v").mapInPandas(lambda it: _keyed(it, tables, config.seed), f"rep long, copies long, label {typed}, v {element}, dim int, tab int, key binary")
+    rows = classes.select("rep", "copies", "label", "v").mapInPandas(lambda it: _keyed(it, tables, config.seed), f"rep long, copies long, label {typed}, v {element}, code binary, correction double, dim int, tab int, key binary")
     rows = materialize(rows, "keyed")
     bucket = ["label", "dim", "tab", "key"]
     counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -173,7 +178,7 @@ def links(classes: DataFrame, config: EmbedConfig = EmbedConfig()) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
     # a block meets itself and every other block of its bucket once
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    dealt = sized.withColumn("own", own).select(*bucket, "rep", "copies", "v", "own", F.explode(meetings).alias("meet"))
+    dealt = sized.withColumn("own", own).select(*bucket, "rep", "copies", "v", "code", "correction", "own", F.explode(meetings).alias("meet"))
 
     def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key[4], key[5]
@@ -212,4 +217,6 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     )
     joined = rows.join(members, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    links_of = F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0))
+    component = F.when(F.col("vec_id").isNotNull(), component)
+    return joined.select("vec_id", links_of.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -22,7 +22,8 @@ value are chained to the least of them.  At most 65 distinct fingerprints can
 meet, so that step is linear and even.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
-any other; a null doc_id never names a component; repeated rows are all
+any other; a null doc_id never names a component and is never dropped by
+``keep_one``; rows that share a doc_id stay or go together; repeated rows are all
 returned; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,12 +70,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): ``fp`` holds the 64 bits as a signed long."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bits = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": bits.view(np.int64)})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- the search
