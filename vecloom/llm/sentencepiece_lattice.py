@@ -41,7 +41,7 @@ from vecloom.llm.scratch import materialize
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that are joined by broadcast: a fixed bound.
-FREQUENT = 20_000
+FREQUENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -78,24 +78,30 @@ def words(text: Column) -> Column:
 
 
 def edges(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, end, start, id, score) of every piece in every distinct word; positions count characters from 0.
+    """Every piece in every distinct word as (end, start, id, score), with the columns of ``distinct``.
 
-    A character that is no piece is an edge with id -1, so a path always exists.
+    Positions count characters from 0.  A character that is no piece is an edge
+    with id -1, so a path always exists.
     """
     spark = distinct.sparkSession
     pieces = spark.createDataFrame([(p, i, s) for i, p, s in table.pieces], "piece string, id int, score double")
     n = F.length("word")
-    starts = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    own = distinct.columns
+    starts = distinct.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, n))
-    parts = starts.select("word", "start", F.explode(ends).alias("end")).select("word", "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
+    parts = starts.select(*own, "start", F.explode(ends).alias("end")).select(*own, "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
     found = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")  # the table's size is the vocabulary's
-    return found.select("word", "end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+    return found.select(*own, "end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
 
 
 def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) by the best path through each word's lattice."""
+    """``distinct`` with ``ids``, the best path through each word's lattice.
+
+    If ``distinct`` is dealt by word already (it comes from a grouping by word),
+    its edges are grouped where they are made, without another exchange.
+    """
     listed = F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges")
-    lattices = edges(distinct, table).groupBy("word").agg(listed)
+    lattices = edges(distinct, table).groupBy(*distinct.columns).agg(listed)
     fallback = F.array(*[F.lit(i) for i in table.bytes])
 
     def best_path(found: Column) -> Column:
@@ -129,25 +135,25 @@ def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
 
         return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), end, take, lambda acc: acc["ids"])
 
-    return lattices.select("word", bind(best_path(F.col("edges")), lambda ways: trace(F.col("word"), ways)).alias("ids"))
+    return lattices.select(*distinct.columns, bind(best_path(F.col("edges")), lambda ways: trace(F.col("word"), ways)).alias("ids"))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, ids) for every row."""
     table = load_pieces(model_path)
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("units"))
-    # what the rows are numbered by must not change when a task is repeated
-    rows = materialize(units, "units")
-    counted = rows.select(F.explode("units").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = materialize(counted, "words")
-    encoded = materialize(encode_words(vocabulary.select("word"), table), "encoded")
-    common = materialize(vocabulary.orderBy(F.desc("n"), "word").limit(frequent).select("word").join(encoded, "word"), "frequent")
-    placed = rows.select("row", F.posexplode("units").alias("place", "word"))
+    units = words(F.col(text))
+    counted = docs.select(F.explode(units).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    encoded = materialize(encode_words(counted, table), "encoded-words")
+    common = materialize(encoded.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids"), "frequent-words")
+    # numbered before words are listed; a row without words keeps one line without a word
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), units.alias("units"))
+    placed = numbered.select("doc_id", "row", F.posexplode_outer("units").alias("place", "word"))
     near = placed.join(F.broadcast(common), "word", "left")  # at most `frequent` words
-    rare = near.where("ids is null").select("row", "place", "word").join(encoded, "word")
-    both = near.where("ids is not null").select("row", "place", "ids").unionByName(rare.select("row", "place", "ids"))
-    joined = both.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return rows.select("row", "doc_id").join(joined, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    known = near.where("word is null or ids is not null").select("row", "doc_id", "place", "ids")
+    rare = near.where("word is not null and ids is null").select("row", "doc_id", "place", "word").join(encoded.select("word", "ids"), "word").select("row", "doc_id", "place", "ids")
+    parts = F.array_sort(F.collect_list(F.struct("place", "ids")))
+    joined = known.unionByName(rare).groupBy("row", "doc_id").agg(parts.alias("parts"))
+    return joined.select("doc_id", F.flatten(F.transform(F.filter("parts", lambda p: p["ids"].isNotNull()), lambda p: p["ids"])).alias("ids"))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
