@@ -94,8 +94,7 @@ def parse(source: Mapping[str, Any] | None) -> Filter:
 
 def number(value: Column) -> Column:
     """The finite number that a string reads as, else null."""
-    n = F.when(value.rlike(NUMBER), F.expr("1")).isNotNull()
-    parsed = F.when(n, value.try_cast("double"))
+    parsed = F.when(value.rlike(NUMBER), value.try_cast("double"))
     return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
 
 

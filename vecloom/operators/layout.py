@@ -60,6 +60,37 @@ def liveness(placed: DataFrame, current: DataFrame) -> DataFrame:
     return marked.groupBy("pack", "block").agg(F.count(F.lit(1)).alias("rows"), F.count("live").alias("live"))
 
 
+def dead_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of ``liveness`` without a live row: they can be dropped from the file list."""
+    return blocks.where(F.col("live") == 0).select("pack", "block", "rows")
+
+
+def reclaim_due(blocks: DataFrame) -> DataFrame:
+    """(pack, rows, live) of packs of which at most half is live, the emptiest first: they are worth rewriting."""
+    packs = blocks.groupBy("pack").agg(F.sum("rows").alias("rows"), F.sum("live").alias("live"))
+    return packs.where(F.col("live") * 2 <= F.col("rows"))
+
+
+def reclaimed(placed: DataFrame, current: DataFrame, due: DataFrame) -> DataFrame:
+    """The rows that remain of the packs in ``due``: what a rewrite writes."""
+    kept = placed.join(due.select("pack"), "pack", "left_semi")
+    return kept.join(current.select("id", "seq"), ["id", "seq"], "left_semi")
+
+
+def merged_postings(rows: DataFrame, due: DataFrame) -> DataFrame:
+    """``rows`` (cid, extent, id, current) after merging the clusters that are due.
+
+    Small extents of such a cluster become one, numbered after all others; rows
+    that are not current go, and so do extents without current rows.
+    """
+    sizes = rows.groupBy("cid", "extent").agg(F.count(F.when(F.col("current"), 1)).alias("alive"))
+    last = rows.groupBy("cid").agg(F.max("extent").alias("last"))
+    small = sizes.where(F.col("alive") < SMALL_EXTENT_ROWS).select("cid", "extent", F.lit(True).alias("small"))
+    marked = rows.join(due.where("due").select("cid", F.lit(True).alias("due")), "cid", "left").join(small, ["cid", "extent"], "left").join(last, "cid")
+    touched = F.coalesce(F.col("due"), F.lit(False)) & F.coalesce(F.col("small"), F.lit(False))
+    return marked.where(~touched | F.col("current")).select("cid", F.when(touched, F.col("last") + 1).otherwise(F.col("extent")).alias("extent"), "id", "current")
+
+
 def uncovered(current: DataFrame, postings: DataFrame) -> DataFrame:
     """Live versions without a copy in the clustered view: they keep their own routing."""
     return current.join(postings.select("id", "seq"), ["id", "seq"], "left_anti")

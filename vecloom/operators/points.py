@@ -55,11 +55,10 @@ def write_batch(spark: SparkSession, seq: int, upserts: Sequence[tuple] = (), de
 def bulk_upsert(points: DataFrame, first_seq: int, per_commit: int = MAX_WRITE_OPERATIONS) -> DataFrame:
     """Log rows that upsert a whole table in commits of ``per_commit`` operations, dealt by id.
 
-    Commits are numbered by the id's rank in blocks of the id space, without a
-    global sort: ``seq`` only has to order versions of one id.
+    Commits are numbered by blocks of the id space, without a global sort:
+    ``seq`` only has to order versions of one id.
     """
-    rank = F.col("id") - F.lit(0)
-    return points.select((F.lit(first_seq) + F.floor(rank / per_commit)).cast("long").alias("seq"), F.pmod(rank, F.lit(per_commit)).cast("int").alias("ord"), F.lit("put").alias("op"), "id", "vector", "metadata")
+    return points.select((F.lit(first_seq) + F.floor(F.col("id") / per_commit)).cast("long").alias("seq"), F.pmod("id", F.lit(per_commit)).cast("int").alias("ord"), F.lit("put").alias("op"), "id", "vector", "metadata")
 
 
 def delete_by_filter(points: DataFrame, filter, seq: int) -> DataFrame:

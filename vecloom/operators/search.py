@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import distance
-from vecloom.model import MAX_K, Config
+from vecloom.model import MAX_K, Config, stored
 from vecloom.operators import filters
 
 #: Queries of one batch that are broadcast; a batch is split beyond it.
@@ -75,6 +75,16 @@ def knn(points: DataFrame, config: Config, query: Sequence[float], k: int = 10,
     return found, {"mode": mode, "plan_ms": (time.monotonic() - began) * 1000}
 
 
+def by_text(points: DataFrame, config: Config, text: str, k: int = 10, filter: Mapping[str, Any] | None = None, embedder=None, include: Sequence[str] = ()) -> tuple[DataFrame, dict[str, Any]]:
+    """``knn`` for a text; ``embedder`` maps a list of texts to vectors, the hashing embedder by default."""
+    from vecloom.functions.embed import embed_batch
+
+    vector = embedder([text])[0] if embedder else embed_batch([text], config.dimensions, "query")[0]
+    if len(vector) != config.dimensions:
+        raise ValueError(f"the embedder gives {len(vector)} dimensions, the collection has {config.dimensions}")
+    return knn(points, config, vector, k, filter, include=include)
+
+
 def batch(points: DataFrame, queries: DataFrame, config: Config, k: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:
     """(qid, id, distance, rank) of every query in (qid, vector).
 
@@ -84,9 +94,11 @@ def batch(points: DataFrame, queries: DataFrame, config: Config, k: int, filter:
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    q = queries.select("qid", stored(F.col("vector"), config).alias("q"))
+    if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:  # too many to broadcast as a table
+        return batch_vectors(points, [(r["qid"], r["vector"]) for r in queries.select("qid", "vector").toLocalIterator()], config, k, filter)
     rows = points if filter is None else points.where(filters.on_metadata(filter))
-    q = queries.select("qid", F.col("vector").alias("q"))
-    scored = rows.select("id", "vector").join(F.broadcast(q.limit(QUERY_BLOCK)), how="cross").select("qid", "id", distance.between(config.metric, F.col("vector"), F.col("q")).alias("distance"))
+    scored = rows.select("id", "vector").join(F.broadcast(q), how="cross").select("qid", "id", distance.between(config.metric, F.col("vector"), F.col("q")).alias("distance"))
     best = Window.partitionBy("qid").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.model import Config, Metric
@@ -16,16 +16,28 @@ ABSENT, OVERFLOW = 254, 255
 BLOCK_ROWS, PACK_BLOCKS = 170, 12
 
 
-def blocks(points: DataFrame, rows: int = BLOCK_ROWS, per_pack: int = PACK_BLOCKS, by: str | None = None) -> DataFrame:
-    """``points`` with (pack, block): runs of ids within each value of ``by``, a partition that bounds the window."""
-    from pyspark.sql import Window
+def ranked(points: DataFrame, rows_per_range: int = 1_000_000) -> DataFrame:
+    """``points`` with ``rank``, the place of their id from 0 on, without sorting everything in one task.
+
+    Ids are cut into ranges at quantiles; ranks are counted within each range
+    and moved by the number of rows in the ranges before it.
+    """
+    parts = -(-points.count() // rows_per_range)
+    cuts = [int(c) for c in points.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)] if parts > 1 else []
+    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    rows = points.withColumn("span", span)
+    counts = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    ahead = counts.select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    placed = rows.join(F.broadcast(ahead), "span")
+    within = F.row_number().over(Window.partitionBy("span").orderBy("id")) - 1
+    return placed.withColumn("rank", F.col("ahead") + within).drop("span", "ahead")
 
-    group = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    n = F.row_number().over(group.orderBy("id")) - 1
-    block = F.floor(n / rows).cast("int")
-    out = points.withColumn("block_no", block)
-    pack = F.floor(F.col("block_no") / per_pack).cast("int")
-    return out.withColumn("pack", pack).withColumn("block", F.col("block_no") % per_pack).drop("block_no")
+
+def blocks(points: DataFrame, rows: int = BLOCK_ROWS, per_pack: int = PACK_BLOCKS) -> DataFrame:
+    """``points`` with (pack, block): runs of ``rows`` ids, ``per_pack`` runs to a pack."""
+    number = F.floor(F.col("rank") / rows).cast("int")
+    out = ranked(points).withColumn("pack", F.floor(number / per_pack).cast("int"))
+    return out.withColumn("block", number % per_pack).drop("rank")
 
 
 def stats(packed: DataFrame) -> DataFrame:
@@ -122,8 +134,6 @@ def routed_dictionary(packed: DataFrame, key: str) -> DataFrame:
     Values are counted per pack first, and only the first ``DICTIONARY`` of them
     are gathered.
     """
-    from pyspark.sql import Window
-
     values = packed.select("pack", F.col("metadata")[key].alias("value")).where("value is not null").distinct()
     first = values.withColumn("n", F.row_number().over(Window.partitionBy("pack").orderBy("value"))).where(F.col("n") <= DICTIONARY)
     return first.groupBy("pack").agg(F.array_sort(F.collect_list("value")).alias("values"))

@@ -83,7 +83,7 @@ def knn_fields(spark, sf_dir):
 
 
 def _batch_sql(where: str, k: int = 5, queries: str = "vec_id % 20 = 0") -> str:
-    return f"""WITH {PTS}, d AS (SELECT q.vec_id AS qid, id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts, (SELECT * FROM embeddings WHERE {queries}) q WHERE {where}),
+    return f"""WITH {PTS}, d AS (SELECT q.vec_id AS qid, id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts, (SELECT vec_id, embedding FROM embeddings WHERE {queries}) q WHERE {where}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM d) SELECT qid, id, distance, rank FROM r WHERE rank <= {k}"""
 
 
@@ -180,7 +180,7 @@ def upsert_bulk(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- requests
-@register("request_lookup", f"""WITH {REQUESTS}, s AS (SELECT max(event_id) AS now FROM events), f AS (SELECT boundary, nonce, min(seq) AS seq FROM req GROUP BY ALL), k AS (SELECT * FROM f, s WHERE now - boundary <= 128)
+@register("request_lookup", f"""WITH {REQUESTS}, s AS (SELECT max(event_id) AS now FROM events), f AS (SELECT boundary, nonce, min(seq) AS seq FROM req GROUP BY ALL), k AS (SELECT f.* FROM f, s WHERE now - boundary <= 128)
 SELECT f.boundary, f.nonce, CASE WHEN f.boundary > now THEN 'ahead' WHEN k.seq IS NOT NULL THEN 'retained' WHEN now - f.boundary >= 128 THEN 'expired' ELSE 'unknown' END AS state, k.seq AS outcome_seq FROM f CROSS JOIN s LEFT JOIN k ON k.boundary = f.boundary AND k.nonce = f.nonce""")
 def request_lookup(spark, sf_dir):
     first = requests.dedupe(t.requests(spark, sf_dir))
@@ -190,7 +190,7 @@ def request_lookup(spark, sf_dir):
 register("request_dedupe", f"WITH {REQUESTS} SELECT boundary, nonce, min(seq) AS seq, arg_min(digest, seq) AS digest, count(*) AS arrivals, count(DISTINCT digest) > 1 AS conflict FROM req GROUP BY boundary, nonce")(lambda s, d: requests.dedupe(t.requests(s, d)))
 
 
-@register("conditional_write", f"""WITH {LOG}, c AS (SELECT floor(event_id / 50) * 50 AS boundary, md5(CAST(floor(event_id / 50) AS VARCHAR)) AS nonce, event_id % 50 AS place, user_id AS id, CAST(event_id / 10 AS BIGINT) AS revision FROM events),
+@register("conditional_write", f"""WITH {LOG}, c AS (SELECT floor(event_id / 50) * 50 AS boundary, md5(CAST(CAST(floor(event_id / 50) AS BIGINT) AS VARCHAR)) AS nonce, event_id % 50 AS place, user_id AS id, CAST(event_id / 10 AS BIGINT) AS revision FROM events),
 l AS (SELECT id, max(seq) AS changed FROM log WHERE seq <= 400 GROUP BY id), v AS (SELECT boundary, nonce, place, CASE WHEN revision < 272 THEN 'expired_revision' WHEN coalesce(changed, 0) > revision THEN 'stale_revision' END AS conflict FROM c LEFT JOIN l USING (id))
 SELECT CAST(boundary AS BIGINT) AS boundary, nonce, arg_min(conflict, place) FILTER (conflict IS NOT NULL) AS conflict FROM v GROUP BY boundary, nonce""".replace("CAST(event_id / 10 AS BIGINT)", "CAST(floor(event_id / 10) AS BIGINT)"))
 def conditional_write(spark, sf_dir):
@@ -380,15 +380,33 @@ def cluster_packs(spark, sf_dir):
     return layout.packs(layout.cluster_layout(_index(spark, sf_dir).assigned)).select("cid", "block", "pack")
 
 
+def _extent_rows(spark, sf_dir):
+    log = t.log(spark, sf_dir)
+    newest = log_ops.latest(log).select("id", F.col("seq").alias("s"), F.col("ord").alias("o"))
+    current = (F.col("seq") == F.col("s")) & (F.col("ord") == F.col("o"))
+    return log.where("op = 'put'").join(newest, "id").select((F.col("id") % 16).cast("int").alias("cid"), (F.col("seq") % 9).cast("int").alias("extent"), "id", current.alias("current"))
+
+
+def _extents(rows):
+    return rows.groupBy("cid", "extent").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("current"), 1)).alias("current"))
+
+
 @register("posting_merge_due", f"""WITH {LOG}, e AS (SELECT CAST(id % 16 AS INTEGER) AS cid, CAST(seq % 9 AS INTEGER) AS extent, id, seq, ord FROM log WHERE op = 'put'), l AS (SELECT id, max(seq * 10 + ord) AS last FROM log GROUP BY id),
 x AS (SELECT cid, extent, count(*) AS rows, count(CASE WHEN seq * 10 + ord = last THEN 1 END) AS current FROM e JOIN l USING (id) GROUP BY cid, extent)
 SELECT cid, count(*) AS extents, count(CASE WHEN current BETWEEN 1 AND 509 THEN 1 END) AS small, count(CASE WHEN current = 0 THEN 1 END) AS dead, count(CASE WHEN current BETWEEN 1 AND 509 THEN 1 END) > 3 OR count(CASE WHEN current = 0 THEN 1 END) >= 16 AS due FROM x GROUP BY cid""")
 def posting_merge_due(spark, sf_dir):
-    log = t.log(spark, sf_dir)
-    newest = log_ops.latest(log).select("id", F.col("seq").alias("s"), F.col("ord").alias("o"))
-    rows = log.where("op = 'put'").join(newest, "id").select((F.col("id") % 16).cast("int").alias("cid"), (F.col("seq") % 9).cast("int").alias("extent"), ((F.col("seq") == F.col("s")) & (F.col("ord") == F.col("o"))).alias("is_current"))
-    extents = rows.groupBy("cid", "extent").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("is_current"), 1)).alias("current"))
-    return layout.merge_due(extents)
+    return layout.merge_due(_extents(_extent_rows(spark, sf_dir)))
+
+
+@register("posting_merge", f"""WITH {LOG}, e AS (SELECT CAST(id % 16 AS INTEGER) AS cid, CAST(seq % 9 AS INTEGER) AS extent, id, seq * 10 + ord = max(seq * 10 + ord) OVER (PARTITION BY id) AS current, op FROM log),
+p AS (SELECT * FROM e WHERE op = 'put'), x AS (SELECT cid, extent, count(CASE WHEN current THEN 1 END) AS alive FROM p GROUP BY ALL),
+u AS (SELECT cid, max(extent) AS last, count(CASE WHEN alive BETWEEN 1 AND 509 THEN 1 END) > 3 OR count(CASE WHEN alive = 0 THEN 1 END) >= 16 AS due FROM x GROUP BY cid),
+m AS (SELECT p.cid, CASE WHEN due AND alive < 510 THEN last + 1 ELSE p.extent END AS extent, current FROM p JOIN x ON x.cid = p.cid AND x.extent = p.extent JOIN u ON u.cid = p.cid WHERE current OR NOT (due AND alive < 510))
+SELECT cid, CAST(extent AS INTEGER) AS extent, count(*) AS rows, count(CASE WHEN current THEN 1 END) AS current FROM m GROUP BY cid, extent""")
+def posting_merge(spark, sf_dir):
+    """Extents after the clusters that are due have been merged."""
+    rows = _extent_rows(spark, sf_dir)
+    return _extents(layout.merged_postings(rows, layout.merge_due(_extents(rows))))
 
 
 _VERSIONS = f"{LOG}, ver AS MATERIALIZED (SELECT id, seq * 10 + ord AS seq, op FROM log), cur AS MATERIALIZED (SELECT id, max(seq) AS seq FROM ver GROUP BY id)"
@@ -406,6 +424,26 @@ def block_liveness(spark, sf_dir):
     return layout.liveness(placed, current)
 
 
+_BLOCKS = f"{_VERSIONS}, bl AS (SELECT CAST(floor(ver.seq / 2040) AS INTEGER) AS pack, CAST(floor(ver.seq / 170) % 12 AS INTEGER) AS block, ver.id, ver.seq, cur.id IS NOT NULL AS live FROM ver LEFT JOIN cur ON cur.id = ver.id AND cur.seq = ver.seq)"
+
+
+def _placed(spark, sf_dir):
+    log, current = _versions(spark, sf_dir)
+    return log.select("id", "seq", F.floor(F.col("seq") / 2040).cast("int").alias("pack"), (F.floor(F.col("seq") / 170) % 12).cast("int").alias("block")), current
+
+
+register("dead_blocks", f"WITH {_BLOCKS} SELECT pack, block, count(*) AS rows FROM bl GROUP BY pack, block HAVING count(CASE WHEN live THEN 1 END) = 0")(lambda s, d: layout.dead_blocks(layout.liveness(*_placed(s, d))))
+register("reclaim_due", f"WITH {_BLOCKS} SELECT pack, count(*) AS rows, count(CASE WHEN live THEN 1 END) AS live FROM bl GROUP BY pack HAVING 2 * count(CASE WHEN live THEN 1 END) <= count(*)")(
+    lambda s, d: layout.reclaim_due(layout.liveness(*_placed(s, d))).select("pack", F.col("rows").cast("long").alias("rows"), F.col("live").cast("long").alias("live"))
+)
+
+
+@register("reclaimed_rows", f"WITH {_BLOCKS} SELECT pack, id, seq FROM bl WHERE live AND pack IN (SELECT pack FROM bl GROUP BY pack HAVING 2 * count(CASE WHEN live THEN 1 END) <= count(*))")
+def reclaimed_rows(spark, sf_dir):
+    placed, current = _placed(spark, sf_dir)
+    return layout.reclaimed(placed, current, layout.reclaim_due(layout.liveness(placed, current))).select("pack", "id", "seq")
+
+
 @register("uncovered_rows", f"WITH {_VERSIONS} SELECT id, seq FROM cur WHERE NOT EXISTS (SELECT 1 FROM ver WHERE ver.id = cur.id AND ver.seq = cur.seq AND ver.op = 'put' AND ver.seq <= 6000)")
 def uncovered_rows(spark, sf_dir):
     log, current = _versions(spark, sf_dir)
@@ -456,6 +494,13 @@ def memory_recall(spark, sf_dir):
     return memory_ops.recall(points, COSINE, "how are the things", "conv-1", 5).select("id", "text", "score", F.col("tags")["role"].alias("role"))
 
 
+@register("text_query")
+def text_query(spark, sf_dir):
+    """Nearest memories to a text over all scopes; the embedder hashes words, which SQL doesn't do."""
+    points = memory_ops.remember(_turns(spark, sf_dir), DIM, ["role"])
+    return search.by_text(points, COSINE, "where is the station", 10)[0]
+
+
 @register("memory_forget", f"SELECT DISTINCT {_MEMORY_ID} AS id FROM conversations WHERE {_SCOPE} <> 'conv-1' AND text IS NOT NULL")
 def memory_forget(spark, sf_dir):
     points = memory_ops.remember(_turns(spark, sf_dir), DIM, ["role"])
