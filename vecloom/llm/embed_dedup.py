@@ -179,8 +179,10 @@ def links(classes: DataFrame, config: EmbedConfig = EmbedConfig()) -> DataFrame:
     # a block meets itself and every other block of its bucket once
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
     dealt = sized.withColumn("own", own).select(*bucket, "rep", "copies", "v", "code", "correction", "own", F.explode(meetings).alias("meet"))
+    # dealt by bucket and blocks: dealt by bucket alone, as the join leaves them, all blocks of a large bucket would share a task
+    dealt = dealt.select("*", F.col("meet.x").alias("x"), F.col("meet.y").alias("y")).drop("meet").repartition(*bucket, "x", "y")
 
-    def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = key[4], key[5]
         parts = tables[int(pdf["dim"].iloc[0])]
         table = int(pdf["tab"].iloc[0])
@@ -200,7 +202,7 @@ def links(classes: DataFrame, config: EmbedConfig = EmbedConfig()) -> DataFrame:
         low = reps[order][_clusters(len(both), place[i], place[j])[place]]
         return pd.DataFrame({"rep": reps[used], "low": low[used], "n": n[used].astype(np.int64)})
 
-    return dealt.groupBy(*bucket, "meet.x", "meet.y").applyInPandas(group, "rep long, low long, n long")
+    return dealt.groupBy(*bucket, "x", "y").applyInPandas(group, "rep long, low long, n long")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", config: EmbedConfig = EmbedConfig()) -> DataFrame:
