@@ -38,20 +38,18 @@ def between(metric: Metric, a: Column, b: Column) -> Column:
     return _finish(metric, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
 
 
-def to_query(metric: Metric, vector: Column, query: Sequence[float] | np.ndarray) -> Column:
-    """Distance of a vector column to a fixed query."""
+def to_query(metric: Metric, vector: str, query: Sequence[float] | np.ndarray) -> Column:
+    """Distance of the vector column of this name to a fixed query.
+
+    The sum is written as one SQL expression: building it from hundreds of
+    column objects would take longer than many searches.
+    """
     q = np.asarray(query, dtype=np.float32).astype(np.float64).tolist()
     if len(q) > UNROLL:
-        return between(metric, vector, F.array(*[F.lit(x) for x in q]))
-    total = F.lit(0.0)
-    for i, x in enumerate(q):
-        component = F.get(vector, F.lit(i)).cast("double")
-        if metric is Metric.SQUARED_EUCLIDEAN:
-            # a named difference would be computed once anyway: common subexpressions are shared
-            total = total + (component - F.lit(x)) * (component - F.lit(x))
-        else:
-            total = total + _term(metric, component, F.lit(x))
-    return _finish(metric, total)
+        return between(metric, F.col(vector), F.array(*[F.lit(x) for x in q]))
+    term = {Metric.SQUARED_EUCLIDEAN: "({a} - {b}) * ({a} - {b})", Metric.MANHATTAN: "abs({a} - {b})", Metric.COSINE: "{a} * {b}"}[metric]
+    terms = [term.format(a=f"CAST(get(`{vector}`, {i}) AS DOUBLE)", b=f"({x!r}D)") for i, x in enumerate(q)]
+    return _finish(metric, F.expr(" + ".join(["0.0D", *terms])))
 
 
 def routing_metric(metric: Metric) -> Metric:

@@ -26,7 +26,7 @@ def exact(points: DataFrame, config: Config, query: Sequence[float], k: int, fil
         raise ValueError("k must not be negative")
     q = config.query(query)
     rows = points if filter is None else points.where(filters.on_metadata(filter, promoted=promoted))
-    found = rows.select("id", distance.to_query(config.metric, F.col("vector"), q).alias("distance"), *[f for f in fields if f != "distance"])
+    found = rows.select("id", distance.to_query(config.metric, "vector", q).alias("distance"), *[f for f in fields if f != "distance"])
     return found.orderBy("distance", "id").limit(k)
 
 
