@@ -52,7 +52,7 @@ class EmbedConfig:
     #: Recall of pairs at the threshold that the number of tables aims at; closer pairs are found more surely.
     recall: float = 0.97
     #: Classes of one bucket that are compared by one task at once.
-    block: int = 1024
+    block: int = 512
     #: Bucket size that the number of key bits aims at.
     bucket: int = 256
     #: Width of the confidence bound, in standard deviations of the estimate.
