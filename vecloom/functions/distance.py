@@ -38,6 +38,11 @@ def between(metric: Metric, a: Column, b: Column) -> Column:
     return _finish(metric, F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
 
 
+def literal(query: Sequence[float] | np.ndarray) -> Column:
+    """A fixed vector of doubles, as one expression."""
+    return F.expr("array(" + ", ".join(f"({float(x)!r}D)" for x in query) + ")")
+
+
 def to_query(metric: Metric, vector: str, query: Sequence[float] | np.ndarray) -> Column:
     """Distance of the vector column of this name to a fixed query.
 
@@ -46,7 +51,7 @@ def to_query(metric: Metric, vector: str, query: Sequence[float] | np.ndarray) -
     """
     q = np.asarray(query, dtype=np.float32).astype(np.float64).tolist()
     if len(q) > UNROLL:
-        return between(metric, F.col(vector), F.array(*[F.lit(x) for x in q]))
+        return between(metric, F.col(vector), literal(q))
     term = {Metric.SQUARED_EUCLIDEAN: "({a} - {b}) * ({a} - {b})", Metric.MANHATTAN: "abs({a} - {b})", Metric.COSINE: "{a} * {b}"}[metric]
     terms = [term.format(a=f"CAST(get(`{vector}`, {i}) AS DOUBLE)", b=f"({x!r}D)") for i, x in enumerate(q)]
     return _finish(metric, F.expr(" + ".join(["0.0D", *terms])))

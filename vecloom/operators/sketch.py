@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.functions import distance
 from vecloom.model import Config, Metric
 from vecloom.operators import filters, search
 
@@ -68,7 +69,7 @@ def level_value(minimum: Column, scale: Column, code: Column) -> Column:
 
 def approximate(config: Config, query: Sequence[float]) -> Column:
     """Distance of a sketched row's levels to a query; squared Euclidean stands in for cosine."""
-    q = F.array(*[F.lit(float(x)) for x in config.query(query)])
+    q = distance.literal(config.query(query))
     values = F.zip_with(F.arrays_zip("minima", "scales"), F.col("codes"), lambda p, c: level_value(p["minima"], p["scales"], c))
     term = (lambda v, x: F.abs(v - x)) if config.metric is Metric.MANHATTAN else (lambda v, x: (v - x) * (v - x))
     return F.aggregate(F.zip_with(values, q, term), F.lit(0.0), lambda s, x: s + x)
@@ -76,7 +77,7 @@ def approximate(config: Config, query: Sequence[float]) -> Column:
 
 def lower_bound(config: Config, query: Sequence[float]) -> Column:
     """Least distance that any code of a pack can have: per axis, to the nearest end of its range."""
-    q = F.array(*[F.lit(float(x)) for x in config.query(query)])
+    q = distance.literal(config.query(query))
     ends = F.arrays_zip("minima", "scales")
 
     def gap(e: Column, x: Column) -> Column:
