@@ -535,6 +535,34 @@ def test_embedding_links(spark, config):
     assert embed_dedup.near_duplicates(table.limit(0), config=config).count() == 0
 
 
+def test_no_embedding_link_is_lost_in_a_large_label(spark):
+    """Pairs just above the threshold in one label of 24,000; tables keyed by code bits missed some of them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((24_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((2_000, 64))
+    side -= (side * x[:2_000]).sum(axis=1, keepdims=True) * x[:2_000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[-2_000:] = 0.931 * x[:2_000] + np.sqrt(1 - 0.931**2) * side
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table).where("n_links > 0").collect()}
+    assert {i: (r["n_links"], r["component_id"]) for i, r in found.items()} == {i: (1, i if i < 2_000 else i - 22_000) for i in [*range(2_000), *range(22_000, 24_000)]}
+
+
+def test_bound_of_a_code_cannot_miss():
+    """Vectors turned straight away from their code, the worst case, still pass."""
+    rng = np.random.default_rng(6)
+    o = rng.standard_normal((2_000, 64))
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    signs, c = embed_dedup.encode(o, 42)
+    code = np.where(signs, 1, -1) / 8
+    turned = o @ embed_dedup.rotation(64, 42).T
+    away = turned * c[:, None] - code
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    q = 0.93 * turned + np.sqrt(1 - 0.93**2) * away
+    assert ((q * code).sum(axis=1) >= embed_dedup.least_product(c, 0.93)).all()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     a, b = (rng.standard_normal((2000, 64)) for _ in range(2))

@@ -7,21 +7,23 @@ correction factor c = <x, Ro>.  For another unit vector q
     <x, Rq> / c  estimates  <o, q>  without bias, and its error is at most
     eps * sqrt((1 - c^2) / c^2 / (D - 1))  with a confidence that eps sets.
 
-Only pairs whose upper confidence bound reaches the threshold are recomputed
-exactly, in double precision from the stored vectors, and only those recomputed
-values decide a link.
-
-Candidates come from tables keyed by (label, some bits of the code): nearly
-equal vectors agree in most bits.  The number of bits follows the largest label
-so that a bucket keeps its size as data grow, and the number of tables follows
-from the agreement expected at the threshold, so that recall stays above
-``recall``.  A pair that meets in several tables is compared in the first one
-only, which needs no list of pairs: both codes are at hand.
-
-Scale and skew: equal vectors with equal labels are one class.  A bucket larger
-than ``BLOCK`` is dealt into blocks, and each pair of blocks is a task group of
-bounded size.  A group returns one row a member (its number of links and the
-least member of its own cluster), never its pairs.
+The angle between o and q is at least that between q and x less that between
+o and x.  A pair can therefore reach the threshold only if
+
+    <x, Rq> >= cos(acos(c) + acos(threshold)),
+
+a bound that holds for every pair, not with a confidence.  Pairs that pass it
+are recomputed exactly, in double precision from the stored vectors, and only
+those recomputed values decide a link.  All pairs of a label are held against
+the bound, so no link is lost, whatever the size of the table; the work grows
+with the square of the largest label.
+
+Scale and skew: equal vectors with equal labels are one class.  A label larger
+than ``block`` is dealt into blocks, and each pair of blocks is a task group of
+bounded size.  Blocks grow with the label, up to ``SPREAD`` times ``block``, so
+that a row is sent to ``SPREAD`` groups or few more until then.  A group works
+in tiles of bounded size and returns one row a member (its number of links and
+the least member of its own cluster), never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and those with a null label, link with nothing and are returned as
@@ -46,17 +48,19 @@ from vecloom.llm.scratch import materialize
 THRESHOLD = 0.93
 
 
+#: Blocks of a label before its blocks grow, and how many times ``block`` they may reach.
+SPREAD = 16
+#: Allowance for single precision in the bound.
+ROUNDING = 1e-5
+
+
 @dataclass(frozen=True)
 class EmbedConfig:
     threshold: float = THRESHOLD
-    #: Recall of pairs at the threshold that the number of tables aims at; closer pairs are found more surely.
-    recall: float = 0.97
-    #: Classes of one bucket that are compared by one task at once.
+    #: Classes of one block of a small label.
     block: int = 512
-    #: Bucket size that the number of key bits aims at.
+    #: Classes of a block that are held against the other block at once.
     bucket: int = 256
-    #: Width of the confidence bound, in standard deviations of the estimate.
-    eps: float = 4.0
     seed: int = 42
 
 
@@ -78,18 +82,10 @@ def error_bound(correction: np.ndarray, dim: int, eps: float) -> np.ndarray:
     return eps * np.sqrt((1 - c2) / c2 / max(dim - 1, 1))
 
 
-def table_bits(dim: int, largest: int, config: EmbedConfig) -> list[list[int]]:
-    """Code bits that key each table.
-
-    Two unit vectors at angle t agree in a bit of the code with probability
-    1 - t / pi; so many tables are taken that a pair at the threshold misses
-    all of them with a probability below 1 - recall.
-    """
-    bits = min(max(0, round(math.log2(max(largest, 1) / config.bucket))), dim)
-    agree = (1 - math.acos(config.threshold) / math.pi) ** bits
-    tables = 1 if bits == 0 else math.ceil(math.log(1 - config.recall) / math.log(1 - agree))
-    rng = np.random.default_rng(config.seed + 1)
-    return [sorted(rng.permutation(dim)[:bits].tolist()) for _ in range(tables)]
+def least_product(correction: np.ndarray, threshold: float) -> np.ndarray:
+    """Least product of a code with a rotated unit vector whose cosine with the code's own vector reaches ``threshold``."""
+    angle = np.arccos(np.clip(correction, -1.0, 1.0)) + math.acos(threshold)
+    return np.cos(np.minimum(angle, math.pi)) - ROUNDING
 
 
 def valid(vector: str = "embedding", label: str = "label") -> F.Column:
@@ -98,50 +94,48 @@ def valid(vector: str = "embedding", label: str = "label") -> F.Column:
     return F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
-def _keyed(batches: Iterator[pd.DataFrame], tables_by_dim: dict[int, list[list[int]]], seed: int) -> Iterator[pd.DataFrame]:
-    """One row a class and table: the table's key bits, the whole code, and the stored correction factor."""
+def _encoded(batches: Iterator[pd.DataFrame], seed: int) -> Iterator[pd.DataFrame]:
+    """One row a class with its code and the stored correction factor."""
     for pdf in batches:
         for dim, part in pdf.groupby(pdf["v"].map(len)):
             x = np.stack(part["v"].to_numpy()).astype(np.float64)
             signs, correction = encode(x / np.linalg.norm(x, axis=1, keepdims=True), seed)
-            codes = [c.tobytes() for c in np.packbits(signs, axis=1)]
-            for t, bits in enumerate(tables_by_dim[int(dim)]):
-                keys = np.packbits(signs[:, bits], axis=1)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "label": part["label"].to_numpy(), "v": part["v"].to_numpy(), "code": codes, "correction": correction, "dim": np.int32(dim), "tab": np.int32(t), "key": [k.tobytes() for k in keys]})
+            yield part.assign(code=[c.tobytes() for c in np.packbits(signs, axis=1)], correction=correction, dim=np.int32(dim))
 
 
-def compare(left: pd.DataFrame, right: pd.DataFrame | None, tables: list[list[int]], table: int, config: EmbedConfig) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Linked pairs (i in left, j in right), pairs within their bounds and recomputed pairs.  ``right`` None: within ``left``.
+def compare(left: pd.DataFrame, right: pd.DataFrame | None, config: EmbedConfig) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Tile by tile: linked pairs (i in left, j in right) and the number of recomputed pairs.  ``right`` None: within ``left``.
 
-    The estimate takes the stored code and correction factor of the left vector
+    The bound takes the stored code and correction factor of the left vector
     and the rotated right one.
     """
 
     def prepared(pdf: pd.DataFrame):
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(x, axis=1)
-        turned = (x / norm[:, None]) @ rotation(x.shape[1], config.seed).T
-        codes = np.frombuffer(b"".join(pdf["code"]), dtype=np.uint8).reshape(len(x), -1)
-        return x, norm, turned, np.unpackbits(codes, axis=1)[:, : x.shape[1]].astype(bool), pdf["correction"].to_numpy()
-
-    a = prepared(left)
-    b = a if right is None else prepared(right)
-    dim = a[0].shape[1]
-    bound = error_bound(a[4], dim, config.eps)[:, None]
-    estimate = (np.where(a[3], 1.0, -1.0).astype(np.float32) / math.sqrt(dim)) @ b[2].astype(np.float32).T / a[4][:, None]
-    maybe = estimate + bound >= config.threshold
-    if right is None:
-        maybe &= np.tri(len(left), dtype=bool, k=-1).T
-    i, j = np.nonzero(maybe)
-    for earlier in tables[:table]:  # met before in an earlier table
-        new = (a[3][np.ix_(i, earlier)] != b[3][np.ix_(j, earlier)]).any(axis=1) if len(i) else np.zeros(0, bool)
-        i, j = i[new], j[new]
-    exact = np.empty(len(i))
-    for at in range(0, len(i), 65536):
-        s = slice(at, at + 65536)
-        exact[s] = np.einsum("nd,nd->n", a[0][i[s]], b[0][j[s]]) / (a[1][i[s]] * b[1][j[s]])
-    linked = exact >= config.threshold
-    return i[linked], j[linked], int(maybe.sum()), len(i)
+        return x, np.linalg.norm(x, axis=1)
+
+    x, x_norm = prepared(left)
+    y, y_norm = (x, x_norm) if right is None else prepared(right)
+    dim = x.shape[1]
+    codes = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(x), -1)
+    turned = ((y / y_norm[:, None]) @ rotation(dim, config.seed).T).astype(np.float32).T
+    least = least_product(left["correction"].to_numpy(), config.threshold)[:, None]
+    for start in range(0, len(x), config.bucket):
+        rows = slice(start, start + config.bucket)
+        signs = np.where(np.unpackbits(codes[rows], axis=1)[:, :dim], np.float32(1), np.float32(-1))
+        # within a block, a row is compared with later ones only
+        first = start + 1 if right is None else 0
+        i, j = np.nonzero(signs @ turned[:, first:] / math.sqrt(dim) >= least[rows])
+        i, j = i + start, j + first
+        if right is None:
+            later = j > i
+            i, j = i[later], j[later]
+        exact = np.empty(len(i))
+        for at in range(0, len(i), 65536):
+            s = slice(at, at + 65536)
+            exact[s] = np.einsum("nd,nd->n", x[i[s]], y[j[s]]) / (x_norm[i[s]] * y_norm[j[s]])
+        linked = exact >= config.threshold
+        yield i[linked], j[linked], len(i)
 
 
 def _clusters(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,43 +158,43 @@ def links(classes: DataFrame, config: EmbedConfig = EmbedConfig()) -> DataFrame:
     ``classes`` has rep (id), copies, label, v (the vector); the rows of one rep
     add up over comparisons, since no pair is compared twice.
     """
-    sizes = classes.groupBy(F.size("v").alias("dim"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # a row for each length of vector
-    tables = {r["dim"]: table_bits(r["dim"], r["n"], config) for r in sizes}
     block = config.block
     typed = classes.schema["label"].dataType.simpleString()
     element = classes.schema["v"].dataType.simpleString()
-    rows = classes.select("rep", "copies", "label", "v").mapInPandas(lambda it: _keyed(it, tables, config.seed), f"rep long, copies long, label {typed}, v {element}, code binary, correction double, dim int, tab int, key binary")
-    rows = materialize(rows, "keyed")
-    bucket = ["label", "dim", "tab", "key"]
+    rows = classes.select("rep", "copies", "label", "v").mapInPandas(lambda it: _encoded(it, config.seed), f"rep long, copies long, label {typed}, v {element}, code binary, correction double, dim int")
+    rows = materialize(rows, "encoded")
+    bucket = ["label", "dim"]
     counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = materialize(counts.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "buckets")
+    size = F.least(F.greatest(F.ceil(F.col("n") / SPREAD), F.lit(block)), F.lit(SPREAD * block))
+    counts = materialize(counts.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")), "label-sizes")
     sized = rows.join(counts, bucket)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
-    # a block meets itself and every other block of its bucket once
+    # a block meets itself and every other block of its label once
     meetings = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
     dealt = sized.withColumn("own", own).select(*bucket, "rep", "copies", "v", "code", "correction", "own", F.explode(meetings).alias("meet"))
-    # dealt by bucket and blocks: dealt by bucket alone, as the join leaves them, all blocks of a large bucket would share a task
+    # dealt by label and blocks: dealt by label alone, as the join leaves them, all blocks of a large label would share a task
     dealt = dealt.select("*", F.col("meet.x").alias("x"), F.col("meet.y").alias("y")).drop("meet").repartition(*bucket, "x", "y")
 
     def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = key[4], key[5]
-        parts = tables[int(pdf["dim"].iloc[0])]
-        table = int(pdf["tab"].iloc[0])
-        left = pdf[pdf["own"] == x].reset_index(drop=True)
-        right = None if x == y else pdf[pdf["own"] == y].reset_index(drop=True)
+        x, y = key[2], key[3]
+        pdf = pdf.sort_values("rep", kind="stable")
+        left = pdf[pdf["own"] == x]
+        right = None if x == y else pdf[pdf["own"] == y]
         if not len(left) or (right is not None and not len(right)):
             return pd.DataFrame({"rep": [], "low": [], "n": []}).astype("int64")
-        i, j, *_ = compare(left, right, parts, table, config)
-        both = left if right is None else pd.concat([left, right], ignore_index=True)
-        j = j if right is None else j + len(left)
-        n = np.bincount(i, weights=both["copies"].to_numpy()[j], minlength=len(both)) + np.bincount(j, weights=both["copies"].to_numpy()[i], minlength=len(both))
+        reps, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        own = pdf["own"].to_numpy()
+        place_left, place_right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        n, least = np.zeros(len(pdf)), np.arange(len(pdf))
+        for i, j, _ in compare(left, right, config):
+            if not len(i):
+                continue
+            i, j = place_left[i], place_right[j]
+            n += np.bincount(i, weights=copies[j], minlength=len(pdf)) + np.bincount(j, weights=copies[i], minlength=len(pdf))
+            joined = np.unique(least[i] * len(pdf) + least[j])
+            least = _clusters(len(pdf), joined // len(pdf), joined % len(pdf))[least]
         used = np.flatnonzero(n)
-        reps = both["rep"].to_numpy()
-        order = np.argsort(reps, kind="stable")
-        place = np.empty(len(reps), dtype=np.int64)
-        place[order] = np.arange(len(reps))
-        low = reps[order][_clusters(len(both), place[i], place[j])[place]]
-        return pd.DataFrame({"rep": reps[used], "low": low[used], "n": n[used].astype(np.int64)})
+        return pd.DataFrame({"rep": reps[used], "low": reps[least[used]], "n": n[used].astype(np.int64)})
 
     return dealt.groupBy(*bucket, "x", "y").applyInPandas(group, "rep long, low long, n long")
 
