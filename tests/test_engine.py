@@ -436,6 +436,25 @@ def test_published_recall(spark, clustered, every, probes, recall, short):
     assert round(100 * hits / 24, 2) == recall and few == short
 
 
+def test_farthest_points_of_more_rows_than_the_driver_holds(spark, tmp_path):
+    """The farthest rows lie beyond the first 100,000."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from vecloom.plans import catalog
+
+    n = 100_200
+    vectors = np.random.default_rng(7).random((n, 64), dtype=np.float32)
+    vectors[100_050::30] *= 5
+    flat = pa.array(vectors.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(pa.array(np.arange(0, n * 64 + 1, 64), pa.int32()), flat), "label": pa.array(np.arange(n) % 10, pa.int32())}), tmp_path / "embeddings.parquet")
+    wanted = ivf.farthest_first(Metric.SQUARED_EUCLIDEAN, vectors, 6, 42).tolist()
+    assert max(wanted) >= 100_050
+    rows = sorted(catalog.QUERIES["farthest_point_init"](spark, str(tmp_path)).collect())
+    assert [r["row"] for r in rows] == wanted
+    assert ivf.farthest_rows(frame(spark, vectors[:5]), Metric.SQUARED_EUCLIDEAN, 9, 42, str(tmp_path / "few")) == ivf.farthest_first(Metric.SQUARED_EUCLIDEAN, vectors[:5], 9, 42).tolist()
+
+
 def test_saved_index(spark, tmp_path):
     rows = frame(spark, np.random.default_rng(0).random((60, 3)))
     config = Config(3)

@@ -74,6 +74,30 @@ def farthest_first(metric: Metric, points: np.ndarray, count: int, seed: int) ->
     return np.array(chosen, dtype=np.int64)
 
 
+def farthest_rows(points: DataFrame, metric: Metric, count: int, seed: int, folder: str) -> list[int]:
+    """As ``farthest_first`` over a table of any size: places in id order of the chosen rows; ids are unique.
+
+    Every step is one pass that lowers each row's gap and takes the greatest.
+    The gaps are written below ``folder``, which the executors share, so a step
+    does not repeat the ones before it.
+    """
+    spark, routing, n = points.sparkSession, distance.routing_metric(metric), points.count()
+    count = min(count, n)
+    if count < 1:
+        return []
+    rows = points.select("id", "vector", F.lit(float("inf")).alias("gap"))
+    chosen = [rows.orderBy("id").limit(seed % n + 1).orderBy(F.desc("id")).first()]
+    for step in range(1, count):
+        rows = rows.select("id", "vector", F.least("gap", distance.to_query(routing, "vector", chosen[-1]["vector"])).alias("gap"))
+        if step < count - 1:
+            schema = rows.schema
+            rows.write.parquet(f"{folder}/gaps-{step}")
+            rows = spark.read.schema(schema).parquet(f"{folder}/gaps-{step}")
+        left = rows.where(~F.col("id").isin([c["id"] for c in chosen]))
+        chosen.append(left.agg(F.max_by(F.struct("id", "vector"), F.struct("gap", -F.col("id"))).alias("row")).first()["row"])
+    return list(points.agg(*[F.count(F.when(F.col("id") < c["id"], 1)).alias(f"place_{i}") for i, c in enumerate(chosen)]).first())
+
+
 def renormalized(centers: np.ndarray, sample: np.ndarray) -> np.ndarray:
     """Unit centers for cosine conversion; a degenerate one is replaced by its own sample row."""
     norms = np.sqrt((centers.astype(np.float64) ** 2).cumsum(axis=1)[:, -1])

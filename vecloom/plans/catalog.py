@@ -288,10 +288,12 @@ SELECT step + 1, list_append(chosen, nxt), nxt FROM (SELECT step, chosen, (SELEC
 SELECT CAST(step AS INTEGER) AS step, CAST(i AS BIGINT) AS row FROM f""",
 )
 def farthest_point_init(spark, sf_dir):
-    """The resident index's start; the rows are held by the driver under its bound."""
-    rows = t.points(spark, sf_dir).select("id", "vector").orderBy("id").limit(100_000).collect()
-    chosen = ivf.farthest_first(Metric.SQUARED_EUCLIDEAN, np.array([r[1] for r in rows], dtype=np.float32), 6, ivf.SEED)
-    return spark.createDataFrame([(i, int(c)) for i, c in enumerate(chosen)], "step int, row long")
+    """The resident index's start over all rows, of which none but the chosen ones reaches the driver."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom"
+    chosen = ivf.farthest_rows(t.points(spark, sf_dir), Metric.SQUARED_EUCLIDEAN, 6, ivf.SEED, f"{root}/farthest-{uuid.uuid4().hex}")
+    return spark.createDataFrame(list(enumerate(chosen)), "step int, row long")
 
 
 def _index(spark, sf_dir) -> ivf.Index:
