@@ -455,6 +455,22 @@ def test_farthest_points_of_more_rows_than_the_driver_holds(spark, tmp_path):
     assert ivf.farthest_rows(frame(spark, vectors[:5]), Metric.SQUARED_EUCLIDEAN, 9, 42, str(tmp_path / "few")) == ivf.farthest_first(Metric.SQUARED_EUCLIDEAN, vectors[:5], 9, 42).tolist()
 
 
+def test_probe_recall_is_that_of_each_querys_own_probe(spark):
+    from vecloom.operators import evaluate
+
+    vectors = np.random.default_rng(8).standard_normal((200, 4)).astype(np.float32)
+    config, rows = Config(4), frame(spark, vectors).cache()
+    index = ivf.build_bounded(rows, config, 5)
+    queries = [(i, vectors[i].tolist()) for i in (0, 60, 120)]
+    truth = search.batch_vectors(rows, queries, config, 10)
+    got = {(r["qid"], r["probes"]): r["hits"] for r in evaluate.probe_recall(truth, index.assigned, ivf.center_ranks(index, queries), 5).collect()}
+    assert len(got) == 15
+    for qid, v in queries:
+        exact = {i for _, i in found(search.exact(rows, config, v, 10))}
+        for probes in (1, 2, 5):
+            assert got[qid, probes] == len(exact & {i for _, i in found(ivf.probe(index, v, 10, probes))})
+
+
 def test_saved_index(spark, tmp_path):
     rows = frame(spark, np.random.default_rng(0).random((60, 3)))
     config = Config(3)

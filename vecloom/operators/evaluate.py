@@ -14,6 +14,19 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.withColumn("recall", F.col("hits") / F.col("k"))
 
 
+def probe_recall(truth: DataFrame, placed: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
+    """(probes, qid, k, hits, recall) for 1 to ``most`` probes of every query's own nearest partitions.
+
+    ``truth`` has (qid, id), ``placed`` (id, cid) and ``ranks`` (qid, cid,
+    center_rank).  A probe is exact within what it reads, so it finds just those
+    true neighbours whose partition it reads.
+    """
+    at = truth.select("qid", "id").join(placed.select("id", "cid"), "id").join(ranks, ["qid", "cid"])
+    counts = [F.struct(F.lit(p).alias("probes"), F.count(F.when(F.col("center_rank") <= p, 1)).alias("hits")) for p in range(1, most + 1)]
+    found = at.groupBy("qid").agg(F.count(F.lit(1)).alias("k"), F.array(*counts).alias("by_probes")).select("qid", "k", F.explode("by_probes").alias("p"))
+    return found.select("p.probes", "qid", "k", "p.hits", (F.col("p.hits") / F.col("k")).alias("recall"))
+
+
 def percentile(column: str, p: float):
     """Nearest-rank percentile."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")

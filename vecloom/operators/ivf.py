@@ -214,6 +214,13 @@ def probe(index: Index, query: Sequence[float], k: int, probes: int, filter: Map
     return search.exact(index.assigned.where(F.col("cid").isin(chosen)), index.config, query, k, filter)
 
 
+def center_ranks(index: Index, queries: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
+    """(qid, cid, center_rank): the order, from 1, in which each query probes the partitions."""
+    spark, metric = index.assigned.sparkSession, index.config.metric
+    rows = [(qid, c, r) for qid, v in queries for r, (c, _) in enumerate(nearest_centers(metric, index.config.query(v), index.centers, len(index.centers)), 1)]
+    return spark.createDataFrame(rows, "qid long, cid int, center_rank int")
+
+
 def adaptive(index: Index, query: Sequence[float], k: int, min_probes: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:
     """Probes at least ``min_probes`` partitions and more, in center order, until k rows match or all are read.
 

@@ -473,6 +473,15 @@ found AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORD
 rec AS (SELECT t.qid, count(*) AS k, count(f.id) AS hits, count(f.id) / count(*) AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.id = t.id GROUP BY t.qid)"""
 register("recall_at_k", f"{_RECALLS} SELECT qid, k, hits, recall FROM rec")(_recalls)
 register("recall_summary", f"{_RECALLS} SELECT round(avg(recall), 9) AS mean, quantile_disc(recall, 0.05) AS p5, avg(CASE WHEN k < 5 THEN 1.0 ELSE 0.0 END) AS short FROM rec")(lambda s, d: evaluate.summary(_recalls(s, d), 5).withColumn("mean", F.round("mean", 9)))
+@register("ivf_probe_recall")
+def ivf_probe_recall(spark, sf_dir):
+    """Recall at 10 of the probed search for every number of probes, centers trained with the production sample and iterations; checked by brute force."""
+    queries, index = _query_set(spark, sf_dir), ivf.build_bounded(t.points(spark, sf_dir), L2, _CENTERS)
+    truth = search.batch_vectors(t.points(spark, sf_dir), queries, L2, 10)
+    recalls = evaluate.probe_recall(truth, index.assigned, ivf.center_ranks(index, queries), len(index.centers))
+    return recalls.groupBy("probes").agg(F.round(F.avg("recall"), 9).alias("mean"), evaluate.percentile("recall", 0.05).alias("p5"), F.count(F.lit(1)).alias("queries"))
+
+
 register("latency_percentiles", "SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")(lambda s, d: evaluate.latency(t.read(s, d, "events")))
 
 # ------------------------------------------------------- memory, collections
