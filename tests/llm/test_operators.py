@@ -619,6 +619,23 @@ def test_secrets_equal_brute_force(spark, docs, texts):
     assert secrets.scan(empty(docs)).count() == 0
 
 
+def test_random_keys_are_masked_and_paths_are_not(spark):
+    """Base64 keys with slashes and upper-case hexadecimal; both could stay in the text."""
+    rng = random.Random(9)
+    base64 = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123), 43, 47]))
+    keys = ["".join(rng.choice(base64) for _ in range(40)) for _ in range(3000)]
+    keys = [k for k in keys if k.count("/") >= 2 and "+" not in k and any(c.isdigit() for c in k)][:100]
+    upper = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(300)]
+    paths = ["/usr/lib/python3/dist-packages/numpy", "src/main/java/MyProject2/HelperUtil", "reports/2024-05-01/summary_v2/index"]
+    rows = list(enumerate([f"see {v} here" for v in keys + upper + paths]))
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(keys) == 100
+    # at most 3 of 300 have no window of 2.8 bits or no letter
+    assert sum("[SECRET]" in masked[i] for i in range(100)) == 100
+    assert sum("[SECRET]" in masked[i] for i in range(100, 400)) >= 297
+    assert [masked[i] for i in range(400, 403)] == [t for _, t in rows[400:]]
+
+
 def test_masking(spark, docs, texts):
     masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
     for i, text in texts.items():

@@ -46,16 +46,20 @@ class CharacterClass:
 #: Characters in ascending code order; the first class that a candidate fits decides.
 CLASSES = (
     CharacterClass("hexadecimal", "0123456789abcdef", 2.8),
+    CharacterClass("upper hexadecimal", "0123456789ABCDEF", 2.8),
     CharacterClass("base64", "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 3.4),
 )
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
-#: Candidates that match one of these are not reported: no digit or no letter, a UUID, a path, a placeholder, one repeated character.
+#: A part of a path that looks like a word, a camel-case name or a number; random keys mix cases and digits otherwise.
+_WORD = r"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*|[0-9]+)"
+_SEGMENT = rf"{_WORD}(?:[_-]{_WORD})*"
+#: Candidates that match one of these are not reported: no digit or no letter, a UUID, a path of words, a placeholder, one repeated character.
 ALLOW = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z0-9_-]+/){2,}[A-Za-z0-9_-]*$",
+    rf"^/?(?:{_SEGMENT}/){{2,}}(?:{_SEGMENT})?$",
     r"(?i)example|placeholder|dummy|xxxx",
     r"^(.)\1*$",
 )
