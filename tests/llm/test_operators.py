@@ -191,6 +191,11 @@ def test_lattice_equals_brute_force_and_round_trips(spark, docs, texts):
     assert sentencepiece_lattice.encode(empty(docs), path).count() == 0
 
 
+def test_the_query_decodes_whole_texts(spark, sf_dir):
+    wanted = {r["doc_id"]: zlib.crc32((r["text"] or "").encode()) for r in queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    assert {r["doc_id"]: r["text_crc32"] for r in queries.op3_sentencepiece(spark, sf_dir).collect()} == wanted
+
+
 def test_lattice_finds_the_library_s_best_path(texts):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     table = sentencepiece_lattice.load_pieces(path)

@@ -156,17 +156,21 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int =
     return joined.select("doc_id", F.flatten(F.transform(F.filter("parts", lambda p: p["ids"].isNotNull()), lambda p: p["ids"])).alias("ids"))
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text): pieces and bytes put together, the dummy space removed."""
+def text_of(spark: SparkSession, model_path: str):
+    """A function of an ids column: pieces and bytes put together, the dummy space removed."""
     table = load_pieces(model_path)
-    spark: SparkSession = encoded.sparkSession
     codes: dict[int, bytes] = {i: p.replace(META, " ").encode() for i, p, _ in table.pieces}
     codes |= {i: bytes([b]) for b, i in enumerate(table.bytes)}
     shipped = spark.sparkContext.broadcast(codes)  # the vocabulary
 
     @F.pandas_udf("string")
-    def text_of(ids):
+    def text(ids):
         known = shipped.value
         return ids.map(lambda x: b"".join(known[i] for i in x).decode()[1:])
 
-    return encoded.select("doc_id", text_of("ids").alias("text"))
+    return text
+
+
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids)."""
+    return encoded.select("doc_id", text_of(encoded.sparkSession, model_path)("ids").alias("text"))
