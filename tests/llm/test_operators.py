@@ -212,6 +212,58 @@ def test_lattice_finds_the_library_s_best_path(texts):
             assert ids == paths[0]
 
 
+def test_texts_are_cut_where_no_piece_spans(texts):
+    table = sentencepiece_lattice.load_pieces(queries.tokenizer_path("piece_bpe_32k.model"))
+    held = {p[i : i + 2] for _, p, _ in table.pieces for i in range(len(p) - 1)}
+    own = ["", *(sentencepiece_lattice.normalized((t or "").encode()) for t in texts.values()), "", "漢字 and 😀é"]
+    words, sizes = sentencepiece_lattice.Cutter([p for _, p, _ in table.pieces]).words(own)
+    expected = [[w for w in re.split("\\x00", "".join(c + ("\x00" if c + d not in held else "") for c, d in zip(t, t[1:] + "\x00"))) if w] for t in own]
+    assert words.to_pylist() == [w for ws in expected for w in ws] and sizes.tolist() == list(map(len, expected))
+
+
+@pytest.mark.parametrize("part_chars", [1, 3000])
+def test_lattice_over_many_parts(spark, docs, texts, part_chars):
+    """Parts of one text each, and long words among short ones; a text of bytes that are not UTF-8."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    table = sentencepiece_lattice.load_pieces(path)
+    scores = {p: (i, s) for i, p, s in table.pieces}
+    small = docs.where("doc_id < 30 and (text is null or length(text) < 2000)").select("doc_id", "text")
+    more = {100: "word" * 2000 + " ▁ ▁▁x▁", 101: "漢字かな" * 700, 102: "a" * 5000, 103: "�(" + "\x01" * 70}
+    table_of = spark.createDataFrame([(i, t) for i, t in more.items() if i != 103], "doc_id long, text string")
+    broken = spark.range(103, 104).selectExpr("id as doc_id", "cast(concat(x'80', x'28', cast(repeat('\x01', 70) as binary)) as string) as text")
+    every = small.unionByName(table_of).unionByName(broken)
+    wanted = {i: texts[i] or "" for i in texts if i < 30 and len(texts[i] or "") < 2000} | more
+    encoded = sentencepiece_lattice.encode(every, path, part_chars=part_chars).cache()
+    rows = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    for i, text in wanted.items():
+        assert rows[i] == (brute_lattice("▁" + text.replace(" ", "▁"), table, scores)[0] if text else []), i
+    # the meta symbol comes back as a space, as in the library
+    assert {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decode(encoded, path).collect()} == {i: t.replace("▁", " ") for i, t in wanted.items()}
+    assert unigram_library().decode(rows[100]) == more[100].replace("▁", " ")
+
+
+def test_decoding_of_odd_ids(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    table = sentencepiece_lattice.load_pieces(path)
+    piece = {p: i for i, p, _ in table.pieces}
+    half = table.bytes[0xC3]
+    rows = [(0, None), (1, []), (2, [piece["▁a"], half, piece["b"]]), (3, [piece["▁a"], 10**9, -5, piece["b"]]), (4, [piece["▁"], half, table.bytes[0xA9]])]
+    found = {r["doc_id"]: r["text"] for r in sentencepiece_lattice.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), path).collect()}
+    assert found == {0: None, 1: "", 2: "a�b", 3: "a��b", 4: "é"}
+
+
+def test_long_words_take_seconds(spark):
+    import time
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    for text in ("word" * 5000, "a" * 20_000, "漢字かな" * 5000):
+        table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.monotonic()
+        encoded = sentencepiece_lattice.encode(table, path)
+        assert sentencepiece_lattice.decode(encoded, path).first()["text"] == text
+        assert time.monotonic() - began < 30
+
+
 # ------------------------------------------------------------- 4 token files
 def library_ids(text):
     from tokenizers import Tokenizer

@@ -1,47 +1,69 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text becomes words as the model's normalizer asks (a dummy space in front,
-spaces as the meta symbol), each word a run of meta symbols with what follows;
-no piece of the table has a meta symbol after another character, so words can
-be encoded apart from each other.
+A text is normalized as the model asks (a dummy space in front, spaces as the
+meta symbol) and cut into words wherever no piece of the table holds the two
+characters beside the cut.  No piece spans such a place, so every path through
+a text passes it, and words can be encoded apart from each other.
 
 * Every distinct word is exploded into its substrings of bounded length;
 * an equi-join with the piece table keeps those that are pieces (the edges);
-* edges are grouped by word and end, and a Spark higher-order ``aggregate``
-  folds them left to right into the best-scoring path (Viterbi, ties to the
-  earliest start, as the unigram algorithm of the library has it);
+* edges are grouped by word, and a Spark higher-order ``aggregate`` folds them
+  left to right into the best-scoring path (Viterbi, ties to the earliest
+  start, as the unigram algorithm of the library has it).  The fold holds the
+  scores of the last ``longest`` positions only;
 * a character without a piece is an edge of score (least score - 10) that turns
   into the byte pieces of its UTF-8 bytes.
 
-Ids go back to the documents by a join on the word.  The most frequent words
-(``FREQUENT`` at most, a bounded list) are joined by broadcast, so a word that
-makes up a large part of all text never meets in one task.
+Texts do not travel.  They are cut once, in Arrow batches, into parts of at
+most ``PART_CHARS`` characters (a longer text is a part of its own) that hold
+their distinct words and, for each text, the numbers of its words; parts are
+written as a table bucketed by part.  Only distinct words cross an exchange: to
+their ids, and back to their parts.  A word has one row a part however often
+it occurs, so no word is hot.
 
 The path is the best one under the scores of the piece table, the one that the
 library's n-best search finds for the same table as a unigram model.  A model
 file made for merges (BPE) is used as such a table too; its merge order would
-give other ids for some words.  Decoding concatenates pieces and bytes and gives
-back the text exactly.
-
-Defined results: a null or empty text has no ids and decodes to the empty text;
-rows that share a doc_id each keep their own ids; extra columns are ignored; an
-empty table gives no rows.
+give other ids for some words.
+
+Defined results.  Encoding: a null or empty text has no ids; bytes that are not
+UTF-8 count as U+FFFD; rows that share a doc_id each keep their own ids; extra
+columns are ignored; an empty table gives no rows.  A word that cannot be cut is
+one row of about 80 bytes a character.  Decoding concatenates pieces and bytes
+and gives back the text, but for the meta symbol itself (U+2581), which comes
+back as a space, as it does in the library; null ids give a null text, no ids
+the empty text; an id that is no piece, and bytes that are not UTF-8, come back
+as U+FFFD.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.native_text import bind
-from vecloom.llm.scratch import materialize
+from vecloom.llm.scratch import folder
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words that are joined by broadcast: a fixed bound.
-FREQUENT = 100_000
+#: Characters of a part, and of what is cut at once.
+PART_CHARS, SLICE_CHARS = 32 << 20, 4 << 20
+#: Longer words are named by a digest where rows are keyed by word.
+KEY_CHARS = 64
+#: Characters of a long word that are exploded from one substring of it, and values that are folded at a time.
+CHUNK, BLOCK = 1024, 256
+PARTS = "part long, words array<string>, docs array<long>, sizes array<int>, codes binary"
+#: An edge as one number, ordered by end, then start: the end, 255 less the length, and what it stands for.
+VALUE_BITS, LENGTH_BITS = 22, 8
 
 
 @dataclass(frozen=True)
@@ -67,106 +89,314 @@ def load_pieces(path: str) -> PieceTable:
     raw = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
     if len(raw) != 256 or any(META in p.lstrip(META) for _, p, _ in normal):
         raise ValueError("the model has no byte fallback, or pieces that span words")
-    return PieceTable(tuple(normal), tuple(raw[b] for b in range(256)), max(len(p) for _, p, _ in normal), min(s for *_, s in normal) - UNKNOWN_PENALTY)
+    longest = max(len(p) for _, p, _ in normal)
+    if longest >= 1 << LENGTH_BITS or len(model.pieces) >= 1 << (VALUE_BITS - 1):
+        raise ValueError("the model has too many or too long pieces")
+    return PieceTable(tuple(normal), tuple(raw[b] for b in range(256)), longest, min(s for *_, s in normal) - UNKNOWN_PENALTY)
+
+
+# ------------------------------------------------------------ cutting texts
+class Cutter:
+    """Cuts normalized texts wherever no piece holds both neighbours; many texts at once."""
+
+    def __init__(self, pieces: list[str]):
+        held = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        letters = sorted({c for pair in held for c in pair})
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self.width = len(letters) + 1
+        #: Number of each character; 0 for those that no piece has beside another.
+        self.number = np.zeros(0x110000, dtype=np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, self.width)
+        self.joined = np.zeros(self.width * self.width, dtype=bool)
+        self.joined[[number[a] * self.width + number[b] for a, b in held]] = True
+
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts one after the other, and how many each text has."""
+        whole = "".join(texts)
+        until = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        code = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        number = self.number[code]
+        first = np.ones(len(code), dtype=bool)
+        if len(code):
+            first[1:] = ~self.joined[number[:-1] * self.width + number[1:]]
+            first[until[:-1][until[:-1] < len(code)]] = True  # a text begins, maybe after empty ones
+        begin = np.flatnonzero(first)
+        data, at = whole.encode(), begin
+        if len(data) != len(code):
+            before = np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), dtype=np.int64)
+            at = np.where(begin > 0, before[begin - 1], 0)
+        offsets = np.append(at, len(data))
+        kind, wide = (pa.string(), "<i4") if len(data) < 1 << 31 else (pa.large_string(), "<i8")
+        cut = pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(offsets.astype(wide).tobytes()), pa.py_buffer(data)])
+        return cut, np.diff(np.searchsorted(begin, until), prepend=0)
+
+
+def normalized(text: bytes | None) -> str:
+    """Null and empty texts have nothing to encode, not even the dummy space."""
+    return META + text.decode("utf-8", "replace").replace(" ", META) if text else ""
+
+
+def _part(part: int, docs: list, cuts: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """One part as a row: words by falling frequency, and the texts' words by number, as byte planes."""
+    found = pa.chunked_array([c.cast(pa.large_string()) for c, _ in cuts], pa.large_string()).combine_chunks().dictionary_encode()
+    index = found.indices.to_numpy()
+    order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
+    rank = np.empty(len(order), dtype="<u4")
+    rank[order] = np.arange(len(order))
+    planes = 1 + sum(len(order) > 1 << b for b in (8, 16, 24))
+    raw = np.ascontiguousarray(rank[index].view(np.uint8).reshape(-1, 4)[:, :planes].T)
+    words = found.dictionary.take(pa.array(order)).cast(pa.string())
+    sizes = np.concatenate([s for _, s in cuts])
+    columns = [pa.array([part]), _listed(words), _listed(pa.array(docs, pa.int64())), _listed(pa.array(sizes, pa.int32())), pa.array([zstandard.ZstdCompressor(level=3).compress(raw.tobytes())])]
+    return pa.record_batch(columns, names=[c.split()[0] for c in PARTS.split(", ")])
+
+
+def _listed(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _numbers(packed: bytes, n: int) -> np.ndarray:
+    """Word numbers of a part with ``n`` words in all."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
+    out = np.zeros(n, dtype=np.int64)
+    for i, plane in enumerate(raw):
+        out |= plane.astype(np.int64) << (8 * i)
+    return out
+
+
+def parts(docs: DataFrame, table: PieceTable, text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """(part, words, docs, sizes, codes): the texts as numbers of their part's distinct words."""
+    pieces = docs.sparkSession.sparkContext.broadcast([p for _, p, _ in table.pieces])  # the vocabulary
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, task, number = Cutter(pieces.value), TaskContext.get().partitionId(), 0
+        ids, cuts, texts, size, chars = [], [], [], 0, 0
+
+        def flush() -> None:
+            nonlocal size
+            cuts.append(cutter.words(texts))
+            texts.clear()
+            size = 0
+
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                own = normalized(raw)
+                ids.append(doc_id)
+                texts.append(own)
+                size, chars = size + len(own), chars + len(own)
+                if size >= SLICE_CHARS:
+                    flush()
+                if chars >= part_chars:
+                    if texts:
+                        flush()
+                    yield _part(task << 32 | number, ids, cuts)
+                    ids, cuts, chars, number = [], [], 0, number + 1
+        if texts:
+            flush()
+        if ids:
+            yield _part(task << 32 | number, ids, cuts)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PARTS)
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` written to the shared folder, dealt by ``key``: grouping by it later moves nothing."""
+    spark = rows.sparkSession
+    name = f"vecloom_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", folder(spark, "parts")).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the name only: the files are the caller's
+
+
+# -------------------------------------------------------------- the lattice
+def key_of(word: Column) -> Column:
+    """The word itself, or its digest if it is long: what its edges are grouped by."""
+    return F.when(F.length(word) <= KEY_CHARS, word).otherwise(F.concat(F.lit("\x01"), F.sha2(word.cast("binary"), 256)))
+
+
+def edges(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(key, edge, score) for every piece in every word of (key, word).
+
+    A character that is no piece is an edge of its code point, so a path always
+    exists.  Substrings are taken from one of bounded length, since finding a
+    place in a string takes as long as the place is far.
+    """
+    spark = words.sparkSession
+    rows = [(p, 2 * i, s) for i, p, s in table.pieces]
+    pieces = spark.createDataFrame(rows, "piece string, value long, score double")
+    chunks = words.select("key", F.col("word"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("ahead"))
+    chunks = chunks.select("key", "ahead", F.expr(f"substring(word, ahead + 1, {CHUNK + table.longest - 1})").alias("chunk"))
+    starts = chunks.select("key", "ahead", "chunk", F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))).alias("at"))
+    starts = starts.select("key", (F.col("ahead") + F.col("at") - 1).alias("start"), F.expr(f"substring(chunk, at, {table.longest})").alias("rest"))
+    tried = starts.select("key", "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size"))
+    tried = tried.select("key", "start", "size", F.expr("substring(rest, 1, size)").alias("piece"))
+    found = tried.join(F.broadcast(pieces), "piece", "left").where("value is not null or size = 1")  # the table's size is the vocabulary's
+    value = F.coalesce("value", 2 * F.ascii("piece").cast("long") + 1)
+    order = (F.col("start") + F.col("size")).cast("long") * (1 << LENGTH_BITS + VALUE_BITS) + ((1 << LENGTH_BITS) - 1 - F.col("size")).cast("long") * (1 << VALUE_BITS)
+    return found.select("key", (order + value).alias("edge"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+
+
+def _length(edge: Column) -> Column:
+    return (F.lit((1 << LENGTH_BITS) - 1) - F.shiftright(edge, VALUE_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))).cast("int")
+
+
+def _folded(values: Column, start: dict[str, Column], step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """A fold whose state lists longs (``open``) beside the fields of ``start``; ``finish`` gets them all (``listed``).
+
+    A fold copies its state at every step, so ``BLOCK`` values are folded at a
+    time and what they list is set aside: long words take little more than
+    linear time.
+    """
+    fields = list(start)
 
+    def over(values: Column) -> Column:
+        def block(acc: Column, at: Column) -> Column:
+            fresh = F.struct(F.array().cast("array<bigint>").alias("open"), *[acc[f].alias(f) for f in fields])
+            return F.aggregate(F.slice(values, at, F.lit(BLOCK)), fresh, step, lambda s: F.struct(F.array_append(acc["blocks"], s["open"]).alias("blocks"), *[s[f].alias(f) for f in fields]))
 
-def words(text: Column) -> Column:
-    """Units of a text: meta symbols and what follows them up to the next; they concatenate to the normalized text."""
-    whole = F.concat(F.lit(META), F.replace(text, F.lit(" "), F.lit(META)))
-    units = F.regexp_extract_all(whole, F.lit(f"{META}+[^{META}]*|[^{META}]+"), F.lit(0))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(units)
+        first = F.struct(F.array().cast("array<array<bigint>>").alias("blocks"), *[c.alias(f) for f, c in start.items()])
+        done = lambda acc: finish(F.struct(F.flatten(acc["blocks"]).alias("listed"), *[acc[f].alias(f) for f in fields]))
+        return F.aggregate(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)), first, block, done)
 
+    return bind(values, over)
 
-def edges(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """Every piece in every distinct word as (end, start, id, score), with the columns of ``distinct``.
 
-    Positions count characters from 0.  A character that is no piece is an edge
-    with id -1, so a path always exists.
-    """
-    spark = distinct.sparkSession
-    pieces = spark.createDataFrame([(p, i, s) for i, p, s in table.pieces], "piece string, id int, score double")
-    n = F.length("word")
-    own = distinct.columns
-    starts = distinct.select(*own, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + table.longest, n))
-    parts = starts.select(*own, "start", F.explode(ends).alias("end")).select(*own, "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
-    found = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")  # the table's size is the vocabulary's
-    return found.select(*own, "end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
-
-
-def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """``distinct`` with ``ids``, the best path through each word's lattice.
-
-    If ``distinct`` is dealt by word already (it comes from a grouping by word),
-    its edges are grouped where they are made, without another exchange.
-    """
-    listed = F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges")
-    lattices = edges(distinct, table).groupBy(*distinct.columns).agg(listed)
-    fallback = F.array(*[F.lit(i) for i in table.bytes])
+def best_edges(found: Column, longest: int) -> Column:
+    """The best edge into each position from 1 on, from edges (edge, score) ordered by edge; one edge of 0 comes first."""
 
-    def best_path(found: Column) -> Column:
-        """The best way into each position: its score, where it starts, and its piece."""
-        origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
+    def step(acc: Column, e: Column) -> Column:
+        end = F.shiftright(e["edge"], LENGTH_BITS + VALUE_BITS)
+        length = _length(e["edge"])
+        # edges come by end and start: a new end closes the position before it
+        recent = F.when(F.size(acc["scores"]) >= longest, F.slice(acc["scores"], 2, longest - 1)).otherwise(acc["scores"])
+        closed = F.struct(
+            F.array_append(acc["open"], acc["edge"]).alias("open"),
+            F.array_append(recent, acc["score"]).alias("scores"),
+            end.alias("end"),
+            (F.when(length == 1, acc["score"]).otherwise(F.element_at(acc["scores"], 1 - length)) + e["score"]).alias("score"),
+            e["edge"].alias("edge"),
+        )
+        total = F.element_at(acc["scores"], -length) + e["score"]
+        moved = F.struct(acc["open"].alias("open"), acc["scores"].alias("scores"), acc["end"].alias("end"), total.alias("score"), e["edge"].alias("edge"))
+        return F.when(end > acc["end"], closed).when(total > acc["score"], moved).otherwise(acc)
 
-        def step(ways: Column, e: Column) -> Column:
-            # edges come by end and start, so ways holds all earlier positions, and maybe this one
-            way = F.struct((F.get(ways, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+    # scores are those of the last positions before ``end``, the nearest last
+    start = {"scores": F.array().cast("array<double>"), "end": F.lit(0).cast("long"), "score": F.lit(0.0), "edge": F.lit(0).cast("long")}
+    return _folded(found, start, step, lambda acc: F.array_append(acc["listed"], acc["edge"]))
 
-            def placed(w: Column) -> Column:
-                better = F.concat(F.slice(ways, F.lit(1), F.size(ways) - 1), F.array(w))
-                return F.when(F.size(ways) == e["end"], F.concat(ways, F.array(w))).when(w["score"] > F.element_at(ways, -1)["score"], better).otherwise(ways)
 
-            return bind(way, placed)
+def traced(best: Column) -> Column:
+    """Values of the path's edges from the last to the first."""
 
-        return F.aggregate(found, origin, step)
+    def step(acc: Column, edge: Column) -> Column:
+        taken = F.struct(F.array_append(acc["open"], edge.bitwiseAND(F.lit((1 << VALUE_BITS) - 1))).alias("open"), (_length(edge) - 1).alias("skip"))
+        passed = F.struct(acc["open"].alias("open"), (acc["skip"] - 1).alias("skip"))
+        # the first entry, which no edge leads to, is not on the path
+        return F.when((acc["skip"] == 0) & (edge > 0), taken).otherwise(passed)
 
-    def trace(word: Column, ways: Column) -> Column:
-        """Ids from the last position back to the first."""
-        end = F.struct((F.size(ways) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+    return _folded(F.reverse(best), {"skip": F.lit(0)}, step, lambda acc: acc["listed"])
 
-        def take(acc: Column, i: Column) -> Column:
-            def of(w: Column) -> Column:
-                char = F.hex(F.encode(F.substr(word, i, F.lit(1)), "UTF-8"))
-                raw = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda k: F.get(fallback, F.conv(F.substr(char, k, F.lit(2)), 16, 10).cast("int")))
-                ids = F.when(w["id"] >= 0, F.array(w["id"])).otherwise(raw)
-                return F.struct(w["start"].alias("at"), F.concat(ids, acc["ids"]).alias("ids"))
 
-            return F.when(acc["at"] == i, bind(F.get(ways, i), of)).otherwise(acc)
-
-        return F.aggregate(F.sequence(F.size(ways) - 1, F.lit(1), F.lit(-1)), end, take, lambda acc: acc["ids"])
-
-    return lattices.select(*distinct.columns, bind(best_path(F.col("edges")), lambda ways: trace(F.col("word"), ways)).alias("ids"))
+def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
+    """(key, ids): the best path through the lattice of each word of (key, word).
 
+    If ``words`` is dealt by key already, edges are grouped where they are made,
+    without another exchange.
+    """
+    lattices = edges(words, table).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("edge", "score"))).alias("edges"))
+    fallback = F.array(*[F.lit(i) for i in table.bytes])
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, ids) for every row."""
+    def raw(value: Column) -> Column:
+        """Byte pieces of a code point."""
+        code = F.shiftright(value, 1).cast("int")
+        tail = lambda shift: F.shiftright(code, shift).bitwiseAND(F.lit(63)) + 128
+        of_bytes = F.when(code < 0x80, F.array(code)).when(code < 0x800, F.array(F.shiftright(code, 6) + 0xC0, tail(0))).when(code < 0x10000, F.array(F.shiftright(code, 12) + 0xE0, tail(6), tail(0)))
+        return F.transform(of_bytes.otherwise(F.array(F.shiftright(code, 18) + 0xF0, tail(12), tail(6), tail(0))), lambda b: F.get(fallback, b))
+
+    def ids(values: Column) -> Column:
+        plain = F.transform(values, lambda v: F.shiftright(v, 1).cast("int"))
+        mixed = F.flatten(F.transform(values, lambda v: F.when(v % 2 == 0, F.array(F.shiftright(v, 1).cast("int"))).otherwise(raw(v))))
+        return F.when(F.exists(values, lambda v: v % 2 == 1), mixed).otherwise(plain)
+
+    return lattices.select("key", bind(F.reverse(traced(best_edges(F.col("edges"), table.longest))), ids).alias("ids"))
+
+
+def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """(doc_id, ids) of one part: its texts as word numbers, and the ids of its words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    if not texts.num_rows:
+        return schema.empty_table()
+    of_word = words.column("ids").combine_chunks()
+    number = words.column("code").to_numpy()
+    begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    offsets = of_word.offsets.to_numpy()
+    begin[number], size[number] = offsets[:-1], np.diff(offsets)
+    flat = of_word.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+    out = []
+    for row in range(texts.num_rows):  # one: a part is a row
+        docs, counts = (texts.column(c)[row].values for c in ("docs", "sizes"))
+        counts = counts.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = _numbers(texts.column("codes")[row].as_py(), int(counts.sum()))
+        each = size[own]
+        until = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(begin[own] - until[:-1], each) + np.arange(until[-1])] if len(flat) else flat
+        ends = until[np.concatenate([[0], np.cumsum(counts)])]
+        out.append(pa.table([docs.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], schema=schema))
+    return pa.concat_tables(out)
+
+
+def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
+    """(doc_id, ids) for every row.  ``frequent`` is accepted for earlier callers; all words travel alike."""
     table = load_pieces(model_path)
-    units = words(F.col(text))
-    counted = docs.select(F.explode(units).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    encoded = materialize(encode_words(counted, table), "encoded-words")
-    common = materialize(encoded.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids"), "frequent-words")
-    # numbered before words are listed; a row without words keeps one line without a word
-    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), units.alias("units"))
-    placed = numbered.select("doc_id", "row", F.posexplode_outer("units").alias("place", "word"))
-    near = placed.join(F.broadcast(common), "word", "left")  # at most `frequent` words
-    known = near.where("word is null or ids is not null").select("row", "doc_id", "place", "ids")
-    rare = near.where("word is not null and ids is null").select("row", "doc_id", "place", "word").join(encoded.select("word", "ids"), "word").select("row", "doc_id", "place", "ids")
-    parts = F.array_sort(F.collect_list(F.struct("place", "ids")))
-    joined = known.unionByName(rare).groupBy("row", "doc_id").agg(parts.alias("parts"))
-    return joined.select("doc_id", F.flatten(F.transform(F.filter("parts", lambda p: p["ids"].isNotNull()), lambda p: p["ids"])).alias("ids"))
+    held = _bucketed(parts(docs, table, text, part_chars), "part")
+    listed = held.select(F.col("part").alias("of"), F.posexplode("words").alias("code", "word")).select("of", "code", key_of(F.col("word")).alias("key"))
+    # dealt by key alone, so that edges and ids of a word stay where the word is
+    distinct = held.select(F.explode("words").alias("word")).select(key_of(F.col("word")).alias("key"), "word").repartition("key").distinct()
+    words = listed.join(encode_words(distinct, table), "key").select("of", "code", "ids")
+    texts = held.select("part", "docs", "sizes", "codes")
+    return texts.groupBy("part").cogroup(words.groupBy("of")).applyInArrow(_joined, "doc_id long, ids array<int>")
+
+
+# ----------------------------------------------------------------- decoding
+class Decoder:
+    """Bytes of every id, laid end to end."""
+
+    def __init__(self, table: PieceTable):
+        size = 1 + max(max(i for i, *_ in table.pieces), *table.bytes)
+        of_id = ["�".encode()] * (size + 1)  # the last stands for ids outside the table
+        for i, p, _ in table.pieces:
+            of_id[i] = p.replace(META, " ").encode()
+        for b, i in enumerate(table.bytes):
+            of_id[i] = bytes([b])
+        self.data = np.frombuffer(b"".join(of_id), dtype=np.uint8)
+        self.size = np.array([len(b) for b in of_id], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def texts(self, rows: pd.Series) -> list[str | None]:
+        counts = np.array([0 if x is None else len(x) for x in rows], dtype=np.int64)
+        ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows if x is not None] or [np.zeros(0, np.int64)])
+        ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
+        each = self.size[ids]
+        until = np.concatenate([[0], np.cumsum(each)])
+        whole = self.data[np.repeat(self.begin[ids] - until[:-1], each) + np.arange(until[-1])].tobytes()
+        ends = until[np.concatenate([[0], np.cumsum(counts)])]
+        # the dummy space goes
+        return [None if x is None else whole[a:b].decode("utf-8", "replace")[1:] for x, a, b in zip(rows, ends[:-1], ends[1:])]
 
 
 def text_of(spark: SparkSession, model_path: str):
     """A function of an ids column: pieces and bytes put together, the dummy space removed."""
-    table = load_pieces(model_path)
-    codes: dict[int, bytes] = {i: p.replace(META, " ").encode() for i, p, _ in table.pieces}
-    codes |= {i: bytes([b]) for b, i in enumerate(table.bytes)}
-    shipped = spark.sparkContext.broadcast(codes)  # the vocabulary
+    shipped = spark.sparkContext.broadcast(Decoder(load_pieces(model_path)))  # the vocabulary
 
     @F.pandas_udf("string")
-    def text(ids):
-        known = shipped.value
-        return ids.map(lambda x: b"".join(known[i] for i in x).decode()[1:])
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            # some rows at a time, which bounds the places held at once
+            found = [t for at in range(0, len(ids), 256) for t in shipped.value.texts(ids.iloc[at : at + 256])]
+            yield pd.Series(found, dtype=object)
 
     return text
 
