@@ -56,12 +56,14 @@ from vecloom.llm.scratch import folder
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a part, and of what is cut at once.
-PART_CHARS, SLICE_CHARS = 32 << 20, 4 << 20
+PART_CHARS, SLICE_CHARS = 16 << 20, 1 << 20
 #: Longer words are named by a digest where rows are keyed by word.
 KEY_CHARS = 64
 #: Characters of a long word that are exploded from one substring of it, and values that are folded at a time.
-CHUNK, BLOCK = 1024, 256
+CHUNK, BLOCK = 1024, 128
 PARTS = "part long, words array<string>, docs array<long>, sizes array<int>, codes binary"
+#: Words whose ids are laid out at once.
+JOINED_WORDS = 1 << 19
 #: An edge as one number, ordered by end, then start: the end, 255 less the length, and what it stands for.
 VALUE_BITS, LENGTH_BITS = 22, 8
 
@@ -155,11 +157,10 @@ def _listed(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _numbers(packed: bytes, n: int) -> np.ndarray:
-    """Word numbers of a part with ``n`` words in all."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(-1, n) if n else np.zeros((0, 0), np.uint8)
-    out = np.zeros(n, dtype=np.int64)
-    for i, plane in enumerate(raw):
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    """Word numbers from their bytes, the lowest first."""
+    out = np.zeros(planes.shape[1], dtype=np.int64)
+    for i, plane in enumerate(planes):
         out |= plane.astype(np.int64) << (8 * i)
     return out
 
@@ -218,74 +219,77 @@ def key_of(word: Column) -> Column:
 
 
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(key, edge, score) for every piece in every word of (key, word).
+    """(the columns of ``words``, edge, score, end, size) for every piece in every ``word``.
 
     A character that is no piece is an edge of its code point, so a path always
     exists.  Substrings are taken from one of bounded length, since finding a
-    place in a string takes as long as the place is far.
+    place in a string takes as long as the place is far.  The join is on a hash
+    of the piece, a number, and then on the piece itself.
     """
     spark = words.sparkSession
+    own = [c for c in words.columns if c != "word"]
     rows = [(p, 2 * i, s) for i, p, s in table.pieces]
-    pieces = spark.createDataFrame(rows, "piece string, value long, score double")
-    chunks = words.select("key", F.col("word"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("ahead"))
-    chunks = chunks.select("key", "ahead", F.expr(f"substring(word, ahead + 1, {CHUNK + table.longest - 1})").alias("chunk"))
-    starts = chunks.select("key", "ahead", "chunk", F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))).alias("at"))
-    starts = starts.select("key", (F.col("ahead") + F.col("at") - 1).alias("start"), F.expr(f"substring(chunk, at, {table.longest})").alias("rest"))
-    tried = starts.select("key", "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size"))
-    tried = tried.select("key", "start", "size", F.expr("substring(rest, 1, size)").alias("piece"))
-    found = tried.join(F.broadcast(pieces), "piece", "left").where("value is not null or size = 1")  # the table's size is the vocabulary's
-    value = F.coalesce("value", 2 * F.ascii("piece").cast("long") + 1)
-    order = (F.col("start") + F.col("size")).cast("long") * (1 << LENGTH_BITS + VALUE_BITS) + ((1 << LENGTH_BITS) - 1 - F.col("size")).cast("long") * (1 << VALUE_BITS)
-    return found.select("key", (order + value).alias("edge"), F.coalesce("score", F.lit(table.unknown)).alias("score"))
+    pieces = spark.createDataFrame(rows, "known string, value long, score double").withColumn("hash", F.xxhash64("known"))
+    chunks = words.select(*own, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(CHUNK))).alias("ahead"))
+    chunks = chunks.select(*own, "ahead", F.expr(f"substring(word, ahead + 1, {CHUNK + table.longest - 1})").alias("chunk"))
+    starts = chunks.select(*own, "ahead", "chunk", F.explode(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))).alias("at"))
+    starts = starts.select(*own, (F.col("ahead") + F.col("at") - 1).alias("start"), F.expr(f"substring(chunk, at, {table.longest})").alias("rest"))
+    tried = starts.select(*own, "start", "rest", F.explode(F.sequence(F.lit(1), F.length("rest"))).alias("size"))
+    tried = tried.select(*own, "start", "size", F.expr("substring(rest, 1, size)").alias("piece"))
+    found = tried.withColumn("hash", F.xxhash64("piece")).join(F.broadcast(pieces), "hash", "left")  # the table's size is the vocabulary's
+    held = F.coalesce(F.col("known") == F.col("piece"), F.lit(False))
+    found = found.where(held | (F.col("size") == 1))
+    value = F.when(held, F.col("value")).otherwise(2 * F.ascii("piece").cast("long") + 1)
+    end = F.col("start") + F.col("size")
+    order = end.cast("long") * (1 << LENGTH_BITS + VALUE_BITS) + ((1 << LENGTH_BITS) - 1 - F.col("size")).cast("long") * (1 << VALUE_BITS)
+    return found.select(*own, (order + value).alias("edge"), F.when(held, F.col("score")).otherwise(F.lit(table.unknown)).alias("score"), end.alias("end"), "size")
 
 
 def _length(edge: Column) -> Column:
     return (F.lit((1 << LENGTH_BITS) - 1) - F.shiftright(edge, VALUE_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))).cast("int")
 
 
-def _folded(values: Column, start: dict[str, Column], step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+def _folded(values: Column, start: dict[str, Column], step: Callable[[Column, Column], Column], settle: Callable[[Column], dict[str, Column]], finish: Callable[[Column], Column]) -> Column:
     """A fold whose state lists longs (``open``) beside the fields of ``start``; ``finish`` gets them all (``listed``).
 
     A fold copies its state at every step, so ``BLOCK`` values are folded at a
-    time and what they list is set aside: long words take little more than
-    linear time.
+    time; then what they list is set aside and ``settle`` gives the fields to go
+    on with.  Long words take little more than linear time.
     """
-    fields = list(start)
 
     def over(values: Column) -> Column:
         def block(acc: Column, at: Column) -> Column:
-            fresh = F.struct(F.array().cast("array<bigint>").alias("open"), *[acc[f].alias(f) for f in fields])
-            return F.aggregate(F.slice(values, at, F.lit(BLOCK)), fresh, step, lambda s: F.struct(F.array_append(acc["blocks"], s["open"]).alias("blocks"), *[s[f].alias(f) for f in fields]))
+            fresh = F.struct(F.array().cast("array<bigint>").alias("open"), *[acc[f].alias(f) for f in start])
+            return F.aggregate(F.slice(values, at, F.lit(BLOCK)), fresh, step, lambda s: F.struct(F.array_append(acc["blocks"], s["open"]).alias("blocks"), *[c.alias(f) for f, c in settle(s).items()]))
 
         first = F.struct(F.array().cast("array<array<bigint>>").alias("blocks"), *[c.alias(f) for f, c in start.items()])
-        done = lambda acc: finish(F.struct(F.flatten(acc["blocks"]).alias("listed"), *[acc[f].alias(f) for f in fields]))
+        done = lambda acc: finish(F.struct(F.flatten(acc["blocks"]).alias("listed"), *[acc[f].alias(f) for f in start]))
         return F.aggregate(F.sequence(F.lit(1), F.size(values), F.lit(BLOCK)), first, block, done)
 
     return bind(values, over)
 
 
 def best_edges(found: Column, longest: int) -> Column:
-    """The best edge into each position from 1 on, from edges (edge, score) ordered by edge; one edge of 0 comes first."""
+    """The best edge into each position from 1 on, from edges (edge, score, end, size) ordered by edge; one edge of 0 comes first."""
 
     def step(acc: Column, e: Column) -> Column:
-        end = F.shiftright(e["edge"], LENGTH_BITS + VALUE_BITS)
-        length = _length(e["edge"])
-        # edges come by end and start: a new end closes the position before it
-        recent = F.when(F.size(acc["scores"]) >= longest, F.slice(acc["scores"], 2, longest - 1)).otherwise(acc["scores"])
+        # edges come by end and start, so the longest edge into a position comes first: it closes the position before
+        before = F.when(e["size"] == 1, acc["score"]).otherwise(F.element_at(acc["scores"], 1 - e["size"]))
         closed = F.struct(
             F.array_append(acc["open"], acc["edge"]).alias("open"),
-            F.array_append(recent, acc["score"]).alias("scores"),
-            end.alias("end"),
-            (F.when(length == 1, acc["score"]).otherwise(F.element_at(acc["scores"], 1 - length)) + e["score"]).alias("score"),
+            F.array_append(acc["scores"], acc["score"]).alias("scores"),
+            e["end"].alias("end"),
+            (before + e["score"]).alias("score"),
             e["edge"].alias("edge"),
         )
-        total = F.element_at(acc["scores"], -length) + e["score"]
+        total = F.element_at(acc["scores"], -e["size"]) + e["score"]
         moved = F.struct(acc["open"].alias("open"), acc["scores"].alias("scores"), acc["end"].alias("end"), total.alias("score"), e["edge"].alias("edge"))
-        return F.when(end > acc["end"], closed).when(total > acc["score"], moved).otherwise(acc)
+        return F.when(e["end"] > acc["end"], closed).when(total > acc["score"], moved).otherwise(acc)
 
-    # scores are those of the last positions before ``end``, the nearest last
-    start = {"scores": F.array().cast("array<double>"), "end": F.lit(0).cast("long"), "score": F.lit(0.0), "edge": F.lit(0).cast("long")}
-    return _folded(found, start, step, lambda acc: F.array_append(acc["listed"], acc["edge"]))
+    # scores are those of the positions before ``end``, the nearest last
+    start = {"scores": F.array().cast("array<double>"), "end": F.lit(0), "score": F.lit(0.0), "edge": F.lit(0).cast("long")}
+    recent = lambda s: F.when(F.size(s["scores"]) > longest, F.slice(s["scores"], -longest, longest)).otherwise(s["scores"])
+    return _folded(found, start, step, lambda s: {f: s[f] for f in start} | {"scores": recent(s)}, lambda acc: F.array_append(acc["listed"], acc["edge"]))
 
 
 def traced(best: Column) -> Column:
@@ -297,16 +301,18 @@ def traced(best: Column) -> Column:
         # the first entry, which no edge leads to, is not on the path
         return F.when((acc["skip"] == 0) & (edge > 0), taken).otherwise(passed)
 
-    return _folded(F.reverse(best), {"skip": F.lit(0)}, step, lambda acc: acc["listed"])
+    return _folded(F.reverse(best), {"skip": F.lit(0)}, step, lambda s: {"skip": s["skip"]}, lambda acc: acc["listed"])
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
     """(key, ids): the best path through the lattice of each word of (key, word).
 
     If ``words`` is dealt by key already, edges are grouped where they are made,
-    without another exchange.
+    without another exchange.  The words' numbers come first in the grouping,
+    because edges are made in their order: sorting them costs little.
     """
-    lattices = edges(words, table).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("edge", "score"))).alias("edges"))
+    numbered = words.select(F.monotonically_increasing_id().alias("number"), "key", "word")
+    lattices = edges(numbered, table).groupBy("number", "key").agg(F.sort_array(F.collect_list(F.struct("edge", "score", "end", "size"))).alias("edges"))
     fallback = F.array(*[F.lit(i) for i in table.bytes])
 
     def raw(value: Column) -> Column:
@@ -338,14 +344,20 @@ def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
     out = []
     for row in range(texts.num_rows):  # one: a part is a row
         docs, counts = (texts.column(c)[row].values for c in ("docs", "sizes"))
-        counts = counts.to_numpy(zero_copy_only=False).astype(np.int64)
-        own = _numbers(texts.column("codes")[row].as_py(), int(counts.sum()))
-        each = size[own]
-        until = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(begin[own] - until[:-1], each) + np.arange(until[-1])] if len(flat) else flat
-        ends = until[np.concatenate([[0], np.cumsum(counts)])]
-        out.append(pa.table([docs.cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], schema=schema))
-    return pa.concat_tables(out)
+        until = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        total, raw = int(until[-1]), texts.column("codes")[row].as_py()
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(-1, total) if total else np.zeros((0, 0), np.uint8)
+        first = 0
+        while first < len(docs):  # some texts at a time, which bounds the places held at once
+            last = max(first + 1, int(np.searchsorted(until, until[first] + JOINED_WORDS, "right")) - 1)
+            own = _numbers(planes[:, until[first] : until[last]])
+            each = size[own]
+            ahead = np.concatenate([[0], np.cumsum(each)])
+            ids = flat[np.repeat(begin[own] - ahead[:-1], each) + np.arange(ahead[-1])] if len(own) else flat[:0]
+            ends = ahead[until[first : last + 1] - until[first]]
+            out.append(pa.table([docs.slice(first, last - first).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], schema=schema))
+            first = last
+    return pa.concat_tables(out) if out else schema.empty_table()
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
