@@ -34,10 +34,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer_path("piece_bpe_32k.model")
-    encoded = sentencepiece_lattice.encode(docs, path)
-    decoded = sentencepiece_lattice.text_of(spark, path)("ids")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.crc32(decoded.cast("binary")).alias("text_crc32"))
+    both = sentencepiece_lattice.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

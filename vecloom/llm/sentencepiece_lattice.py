@@ -43,8 +43,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,12 +56,14 @@ from vecloom.llm.scratch import folder
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a part, and of what is cut at once.
-PART_CHARS, SLICE_CHARS = 16 << 20, 1 << 20
+PART_CHARS, SLICE_CHARS = 32 << 20, 1 << 20
 #: Longer words are named by a digest where rows are keyed by word.
 KEY_CHARS = 64
 #: Characters of a long word that are exploded from one substring of it, and values that are folded at a time.
 CHUNK, BLOCK = 1024, 128
 PARTS = "part long, words array<string>, docs array<long>, sizes array<int>, codes binary"
+#: A word's place as one number: bits of its number in the part, and of the part's in the task.
+CODE_BITS, TASK_PARTS_BITS = 27, 12
 #: Words whose ids are laid out at once.
 JOINED_WORDS = 1 << 19
 #: An edge as one number, ordered by end, then start: the end, 255 less the length, and what it stands for.
@@ -138,19 +140,42 @@ def normalized(text: bytes | None) -> str:
     return META + text.decode("utf-8", "replace").replace(" ", META) if text else ""
 
 
-def _part(part: int, docs: list, cuts: list[tuple[pa.Array, np.ndarray]]) -> pa.RecordBatch:
-    """One part as a row: words by falling frequency, and the texts' words by number, as byte planes."""
-    found = pa.chunked_array([c.cast(pa.large_string()) for c, _ in cuts], pa.large_string()).combine_chunks().dictionary_encode()
-    index = found.indices.to_numpy()
-    order = np.argsort(-np.bincount(index, minlength=len(found.dictionary)), kind="stable")
-    rank = np.empty(len(order), dtype="<u4")
-    rank[order] = np.arange(len(order))
-    planes = 1 + sum(len(order) > 1 << b for b in (8, 16, 24))
-    raw = np.ascontiguousarray(rank[index].view(np.uint8).reshape(-1, 4)[:, :planes].T)
-    words = found.dictionary.take(pa.array(order)).cast(pa.string())
-    sizes = np.concatenate([s for _, s in cuts])
-    columns = [pa.array([part]), _listed(words), _listed(pa.array(docs, pa.int64())), _listed(pa.array(sizes, pa.int32())), pa.array([zstandard.ZstdCompressor(level=3).compress(raw.tobytes())])]
-    return pa.record_batch(columns, names=[c.split()[0] for c in PARTS.split(", ")])
+class Part:
+    """Texts being gathered: distinct words so far, and the texts' words by number."""
+
+    def __init__(self):
+        self.docs, self.sizes, self.numbers, self.chars = [], [], [], 0
+        self.words = pa.array([], pa.large_string())
+
+    def add(self, words: pa.Array, sizes: np.ndarray) -> None:
+        found = words.cast(pa.large_string()).dictionary_encode()
+        place = pc.index_in(found.dictionary, value_set=self.words)
+        fresh = place.is_null()
+        number = place.fill_null(0).to_numpy(zero_copy_only=False).astype("<u4")
+        unseen = fresh.to_numpy(zero_copy_only=False)
+        number[unseen] = np.arange(len(self.words), len(self.words) + unseen.sum())
+        self.words = pa.concat_arrays([self.words, found.dictionary.filter(fresh)])
+        self.numbers.append(number[found.indices.to_numpy()])
+        self.sizes.append(sizes)
+
+    def row(self, part: int) -> pa.RecordBatch:
+        """The part as a row; its words are numbered by falling frequency, and numbers written as byte planes."""
+        n = sum(map(len, self.numbers))
+        seen = np.zeros(len(self.words), dtype=np.int64)
+        for numbers in self.numbers:
+            seen += np.bincount(numbers, minlength=len(seen))
+        order = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        planes, at = np.empty((1 + sum(len(order) > 1 << b for b in (8, 16, 24)), n), dtype=np.uint8), 0
+        for numbers in self.numbers:
+            own = rank[numbers]
+            for i, plane in enumerate(planes):
+                plane[at : at + len(own)] = own >> (8 * i) & 255
+            at += len(own)
+        words, packed = self.words.take(pa.array(order)).cast(pa.string()), zstandard.ZstdCompressor(level=3).compress(planes)
+        columns = [pa.array([part]), _listed(words), _listed(pa.array(self.docs, pa.int64())), _listed(pa.array(np.concatenate(self.sizes), pa.int32())), pa.array([packed])]
+        return pa.record_batch(columns, names=[c.split()[0] for c in PARTS.split(", ")])
 
 
 def _listed(values: pa.Array) -> pa.Array:
@@ -170,42 +195,49 @@ def parts(docs: DataFrame, table: PieceTable, text: str = "text", part_chars: in
     pieces = docs.sparkSession.sparkContext.broadcast([p for _, p, _ in table.pieces])  # the vocabulary
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, task, number = Cutter(pieces.value), TaskContext.get().partitionId(), 0
-        ids, cuts, texts, size, chars = [], [], [], 0, 0
-
-        def flush() -> None:
-            nonlocal size
-            cuts.append(cutter.words(texts))
-            texts.clear()
-            size = 0
-
+        cutter, task, number, part = Cutter(pieces.value), TaskContext.get().partitionId(), 0, Part()
+        texts, size = [], 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                own = normalized(raw)
-                ids.append(doc_id)
-                texts.append(own)
-                size, chars = size + len(own), chars + len(own)
-                if size >= SLICE_CHARS:
-                    flush()
-                if chars >= part_chars:
-                    if texts:
-                        flush()
-                    yield _part(task << 32 | number, ids, cuts)
-                    ids, cuts, chars, number = [], [], 0, number + 1
+            own, raw = batch.column("doc_id"), batch.column("text").cast(pa.binary())
+            for i in range(len(batch)):
+                part.docs.append(own[i].as_py())
+                texts.append(normalized(raw[i].as_py()))
+                size += len(texts[-1])
+                part.chars += len(texts[-1])
+                if size >= SLICE_CHARS or part.chars >= part_chars:
+                    part.add(*cutter.words(texts))
+                    texts, size = [], 0
+                if part.chars >= part_chars:
+                    yield part.row(_place(task, number))
+                    number, part = number + 1, Part()
         if texts:
-            flush()
-        if ids:
-            yield _part(task << 32 | number, ids, cuts)
+            part.add(*cutter.words(texts))
+        if part.docs:
+            yield part.row(_place(task, number))
+        # the worker stays for other tasks; what it no longer needs goes back
+        del part
+        pa.default_memory_pool().release_unused()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # texts that are read by one task share their dictionary, so no more tasks than shuffles have
+    return rows.coalesce(_partitions(docs.sparkSession)).mapInArrow(cut, PARTS)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PARTS)
+def _place(task: int, number: int) -> int:
+    if number >= 1 << TASK_PARTS_BITS or task >= 1 << (63 - TASK_PARTS_BITS - CODE_BITS):
+        raise ValueError("too many parts: read the texts with more, or fewer, tasks")
+    return task << TASK_PARTS_BITS | number
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _bucketed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` written to the shared folder, dealt by ``key``: grouping by it later moves nothing."""
     spark = rows.sparkSession
     name = f"vecloom_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", folder(spark, "parts")).saveAsTable(name)
+    rows.write.format("parquet").bucketBy(_partitions(spark), key).option("compression", "zstd").option("path", folder(spark, "parts")).saveAsTable(name)
     try:
         return spark.table(name)
     finally:
@@ -215,7 +247,8 @@ def _bucketed(rows: DataFrame, key: str) -> DataFrame:
 # -------------------------------------------------------------- the lattice
 def key_of(word: Column) -> Column:
     """The word itself, or its digest if it is long: what its edges are grouped by."""
-    return F.when(F.length(word) <= KEY_CHARS, word).otherwise(F.concat(F.lit("\x01"), F.sha2(word.cast("binary"), 256)))
+    key = F.when(F.length(word) <= KEY_CHARS, word).otherwise(F.concat(F.lit("\x01"), F.sha2(word.cast("binary"), 256)))
+    return F.coalesce(key, F.lit(""))  # words are never null; now Spark knows
 
 
 def edges(words: DataFrame, table: PieceTable) -> DataFrame:
@@ -305,14 +338,14 @@ def traced(best: Column) -> Column:
 
 
 def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(key, ids): the best path through the lattice of each word of (key, word).
+    """(key, first, ids): the best path through the lattice of each word of (key, word, first).
 
     If ``words`` is dealt by key already, edges are grouped where they are made,
     without another exchange.  The words' numbers come first in the grouping,
     because edges are made in their order: sorting them costs little.
     """
-    numbered = words.select(F.monotonically_increasing_id().alias("number"), "key", "word")
-    lattices = edges(numbered, table).groupBy("number", "key").agg(F.sort_array(F.collect_list(F.struct("edge", "score", "end", "size"))).alias("edges"))
+    numbered = words.select(F.monotonically_increasing_id().alias("number"), "key", "word", "first")
+    lattices = edges(numbered, table).groupBy("number", "key", "first").agg(F.sort_array(F.collect_list(F.struct("edge", "score", "end", "size"))).alias("edges"))
     fallback = F.array(*[F.lit(i) for i in table.bytes])
 
     def raw(value: Column) -> Column:
@@ -327,12 +360,12 @@ def encode_words(words: DataFrame, table: PieceTable) -> DataFrame:
         mixed = F.flatten(F.transform(values, lambda v: F.when(v % 2 == 0, F.array(F.shiftright(v, 1).cast("int"))).otherwise(raw(v))))
         return F.when(F.exists(values, lambda v: v % 2 == 1), mixed).otherwise(plain)
 
-    return lattices.select("key", bind(F.reverse(traced(best_edges(F.col("edges"), table.longest))), ids).alias("ids"))
+    return lattices.select("key", "first", bind(F.reverse(traced(best_edges(F.col("edges"), table.longest))), ids).alias("ids"))
 
 
-def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """(doc_id, ids) of one part: its texts as word numbers, and the ids of its words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def _joined(texts: pa.Table, words: pa.Table, decoder: Decoder | None = None) -> pa.Table:
+    """(doc_id, ids) of one part: its texts as word numbers, and the ids of its words; with the decoder, the text of the ids too."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())][: 3 if decoder else 2])
     if not texts.num_rows:
         return schema.empty_table()
     of_word = words.column("ids").combine_chunks()
@@ -345,7 +378,7 @@ def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
     for row in range(texts.num_rows):  # one: a part is a row
         docs, counts = (texts.column(c)[row].values for c in ("docs", "sizes"))
         until = np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False), dtype=np.int64)])
-        total, raw = int(until[-1]), texts.column("codes")[row].as_py()
+        total, raw = int(until[-1]), texts.column("codes")[row].as_buffer()
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(-1, total) if total else np.zeros((0, 0), np.uint8)
         first = 0
         while first < len(docs):  # some texts at a time, which bounds the places held at once
@@ -355,21 +388,43 @@ def _joined(texts: pa.Table, words: pa.Table) -> pa.Table:
             ahead = np.concatenate([[0], np.cumsum(each)])
             ids = flat[np.repeat(begin[own] - ahead[:-1], each) + np.arange(ahead[-1])] if len(own) else flat[:0]
             ends = ahead[until[first : last + 1] - until[first]]
-            out.append(pa.table([docs.slice(first, last - first).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], schema=schema))
+            columns = [docs.slice(first, last - first).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+            out.append(pa.table(columns + ([decoder.texts(ids, ends)] if decoder else []), schema=schema))
             first = last
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
+def _encoded(docs: DataFrame, table: PieceTable, text: str, part_chars: int, decoder: Decoder | None = None) -> DataFrame:
+    held = _bucketed(parts(docs, table, text, part_chars), "part")
+    place = F.col("part") * (1 << CODE_BITS) + F.col("code")
+    listed = held.select("part", F.posexplode("words").alias("code", "word")).select(place.alias("place"), key_of(F.col("word")).alias("key"), F.when(F.length("word") > KEY_CHARS, F.col("word")).alias("long"))
+    # Dealt by key alone, so that edges and ids of a word stay where the word is.  Both sides of the join use every
+    # column, which makes them one exchange: the condition always holds and keeps them from being pruned.
+    dealt = listed.repartition("key")
+    distinct = dealt.groupBy("key", "long").agg(F.min("place").alias("first"))
+    found = encode_words(distinct.select("key", F.coalesce("long", "key").alias("word"), "first"), table)
+    same = F.coalesce((F.col("place") >= F.col("first")) & (F.col("long").isNull() | (F.col("first") >= 0)), F.lit(False))
+    joined_words = dealt.join(found.withColumnRenamed("key", "own_key"), (F.col("key") == F.col("own_key")) & same)
+    words = joined_words.select(F.shiftright("place", CODE_BITS).alias("of"), F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int").alias("code"), "ids")
+    texts = held.select("part", "docs", "sizes", "codes")
+    shipped = docs.sparkSession.sparkContext.broadcast(decoder)  # the vocabulary, or nothing
+
+    def joined(texts: pa.Table, words: pa.Table) -> pa.Table:
+        return _joined(texts, words, shipped.value)
+
+    return texts.groupBy("part").cogroup(words.groupBy("of")).applyInArrow(joined, "doc_id long, ids array<int>" + (", text string" if decoder else ""))
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", frequent: int | None = None, part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, ids) for every row.  ``frequent`` is accepted for earlier callers; all words travel alike."""
+    return _encoded(docs, load_pieces(model_path), text, part_chars)
+
+
+def round_trip(docs: DataFrame, model_path: str, text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """(doc_id, ids, text): every row encoded, and its ids decoded where they are laid out."""
     table = load_pieces(model_path)
-    held = _bucketed(parts(docs, table, text, part_chars), "part")
-    listed = held.select(F.col("part").alias("of"), F.posexplode("words").alias("code", "word")).select("of", "code", key_of(F.col("word")).alias("key"))
-    # dealt by key alone, so that edges and ids of a word stay where the word is
-    distinct = held.select(F.explode("words").alias("word")).select(key_of(F.col("word")).alias("key"), "word").repartition("key").distinct()
-    words = listed.join(encode_words(distinct, table), "key").select("of", "code", "ids")
-    texts = held.select("part", "docs", "sizes", "codes")
-    return texts.groupBy("part").cogroup(words.groupBy("of")).applyInArrow(_joined, "doc_id long, ids array<int>")
+    return _encoded(docs, table, text, part_chars, Decoder(table))
 
 
 # ----------------------------------------------------------------- decoding
@@ -387,28 +442,31 @@ class Decoder:
         self.size = np.array([len(b) for b in of_id], dtype=np.int64)
         self.begin = np.cumsum(self.size) - self.size
 
-    def texts(self, rows: pd.Series) -> list[str | None]:
-        counts = np.array([0 if x is None else len(x) for x in rows], dtype=np.int64)
-        ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows if x is not None] or [np.zeros(0, np.int64)])
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Texts of lists of ids that lie end to end; the dummy space goes."""
         ids = np.where((ids >= 0) & (ids < len(self.size) - 1), ids, len(self.size) - 1)
         each = self.size[ids]
         until = np.concatenate([[0], np.cumsum(each)])
         whole = self.data[np.repeat(self.begin[ids] - until[:-1], each) + np.arange(until[-1])].tobytes()
-        ends = until[np.concatenate([[0], np.cumsum(counts)])]
-        # the dummy space goes
-        return [None if x is None else whole[a:b].decode("utf-8", "replace")[1:] for x, a, b in zip(rows, ends[:-1], ends[1:])]
+        places = until[ends]
+        return pa.array([whole[a:b].decode("utf-8", "replace")[1:] for a, b in zip(places, places[1:])], pa.string())
 
 
 def text_of(spark: SparkSession, model_path: str):
     """A function of an ids column: pieces and bytes put together, the dummy space removed."""
     shipped = spark.sparkContext.broadcast(Decoder(load_pieces(model_path)))  # the vocabulary
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            # some rows at a time, which bounds the places held at once
-            found = [t for at in range(0, len(ids), 256) for t in shipped.value.texts(ids.iloc[at : at + 256])]
-            yield pd.Series(found, dtype=object)
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            found = []
+            for at in range(0, len(rows), 256):  # some rows at a time, which bounds the places held at once
+                some = rows.slice(at, 256)
+                ids = some.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = np.array([0 if n is None else n for n in pc.list_value_length(some).to_pylist()], dtype=np.int64)
+                texts = shipped.value.texts(ids, np.concatenate([[0], np.cumsum(sizes)]))
+                found.append(pc.if_else(some.is_valid(), texts, pa.scalar(None, pa.string())))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return text
 
