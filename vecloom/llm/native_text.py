@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 BLANKS = r"[ \t-\r]"
 NOT_BLANK = r"[^ \t-\r]"
+#: Matches that one fold lists.
+AT_ONCE = 128
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,8 +79,6 @@ def spans(text: Column, pattern: str, kind: str, group: int | None = None) -> Co
     found = F.regexp_extract_all(text, regex, F.lit(0))
     part = found if group is None else F.regexp_extract_all(text, regex, F.lit(group))
     rows = F.arrays_zip(found.alias("value"), part.alias("part"), F.split(text, pattern).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), EMPTY_SPANS().alias("out"))
-
     def step(acc: Column, row: Column) -> Column:
         begin = acc["at"] + F.length(row["gap"])
         end = begin + F.length(row["value"])
@@ -86,7 +86,16 @@ def spans(text: Column, pattern: str, kind: str, group: int | None = None) -> Co
         # the last gap has no match after it
         return F.when(row["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # a fold copies its state at every step, so spans are listed for some matches at a time
+    def over(rows: Column) -> Column:
+        def block(acc: Column, first: Column) -> Column:
+            fresh = F.struct(acc["at"].alias("at"), EMPTY_SPANS().alias("out"))
+            return F.aggregate(F.slice(rows, first, F.lit(AT_ONCE)), fresh, step, lambda s: F.struct(s["at"].alias("at"), F.concat(acc["blocks"], F.array(s["out"])).alias("blocks")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("blocks"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(rows), F.lit(AT_ONCE)), start, block, lambda acc: F.flatten(acc["blocks"]))
+
+    return bind(rows, over)
 
 
 SPAN = "struct<start:int,end:int,kind:string,value:string,part:string>"
