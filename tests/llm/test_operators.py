@@ -470,6 +470,53 @@ def test_pii_random_strings(spark):
         assert r["base_sha256"] == digest([f"{k}:{a}:{b}" for k, spans in found.items() for a, b in spans]), rows[r["doc_id"]]
 
 
+def brute_iban(text):
+    """Accounts of their country's length, walked character by character; digits are summed as one whole number."""
+    found, at, plain = [], 0, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    inside = set(plain + plain.lower() + "_")
+    while at < len(text):
+        n = pii.IBAN_LENGTHS.get(text[at : at + 2])
+        if n is None or (at and text[at - 1] in inside) or not (text[at + 2 : at + 4].isascii() and text[at + 2 : at + 4].isdigit() and len(text[at + 2 : at + 4]) == 2):
+            at += 1
+            continue
+        taken, end = text[at : at + 4], at + 4
+        while len(taken) < n:
+            step = 2 if text[end : end + 1] == " " and text[end + 1 : end + 2] and text[end + 1] in plain else 1
+            if not text[end + step - 1 : end + step] or text[end + step - 1] not in plain:
+                break
+            taken, end = taken + text[end + step - 1], end + step
+        if len(taken) < n or (end < len(text) and text[end] in inside):
+            at += 1
+            continue
+        if int("".join(str(int(c, 36)) for c in taken[4:] + taken[:4])) % 97 == 1:
+            found.append((at, end))
+        at = end
+    return found
+
+
+def valid_iban(rng, country):
+    rest = "".join(rng.choices("0123456789", k=pii.IBAN_LENGTHS[country] - 4))
+    check = 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
+    return f"{country}{check:02d}{rest}"
+
+
+def test_accounts_equal_brute_force(spark, texts):
+    rng = random.Random(3)
+    grouped = lambda v: " ".join(v[i : i + 4] for i in range(0, len(v), 4))
+    own = ["IBAN DE89 3704 0044 0532 0130 00 AND MORE", "DE89370400440532013000 OK", "IBAN DE89 3704 0044 0532 0130 00 and more", "xDE89370400440532013000", "DE89370400440532013000X", "DE8937040044053201300", "éDE89370400440532013000é"]
+    assert [brute_iban(t) for t in own[:3]] == [[(5, 32)], [(0, 22)], [(5, 32)]]
+    for country in sorted(pii.IBAN_LENGTHS):
+        v = valid_iban(rng, country)
+        own += [f"{v} {rng.choice(['NOW', 'at', 'X1', ''])}", f"PAY {grouped(v)} {rng.choice(['NOW', 'at', '12', ''])}", v[:-1] + str((int(v[-1]) + 1) % 10)]
+    bits = ["DE89", "GB82", "NO", "3704", "0044", " ", "  ", "AND", "x", "_", valid_iban(rng, "NO"), valid_iban(rng, "DE"), grouped(valid_iban(rng, "BE"))]
+    own += ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(800)] + [t or "" for t in texts.values()]
+    rows = {r["doc_id"]: r for r in pii.report(pii.scan(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(own):
+        spans = [s for s in rows[i]["spans"].split(",") if s.startswith("iban")]
+        assert spans == [f"iban:{a}:{b}" for a, b in brute_iban(text)], text
+    assert sum(r["n_iban"] for r in rows.values()) > 2 * len(pii.IBAN_LENGTHS)
+
+
 def test_context_moves_the_score(spark):
     table = spark.createDataFrame([(0, "please call +1 234 567 890 today"), (1, "zzzz zzzz +1 234 567 890 zzzz"), (2, "order serial +1 234 567 890")], "doc_id long, text string")
     scores = {r["doc_id"]: r["pii"][0]["score"] for r in pii.scan(table).collect()}
@@ -693,6 +740,32 @@ def test_random_keys_are_masked_and_paths_are_not(spark):
     assert [masked[i] for i in range(400, 403)] == [t for _, t in rows[400:]]
 
 
+def test_rules_in_java_are_the_plain_ones():
+    rng = random.Random(12)
+    bits = ["a", "Ab", "aB1", "ABC", "12", "/", "//", "-", "_", "usr/", "lib_2/", "Q9z", "+"]
+    for _ in range(20_000):
+        value = "".join(rng.choices(bits, k=rng.randrange(1, 12)))
+        assert [bool(re.search(r, value)) for r in secrets.ALLOW] == [bool(re.search(r, value)) for r in secrets.ALLOW_IN_JAVA], value
+
+
+def test_very_long_texts_without_blanks(spark):
+    """Repeated groups once made Java recurse over each round of them."""
+    import corpus_pipeline
+
+    n, m = 100_000, 20_000
+    long = ["a1/" * n, "/usr" * n, "a_" * n + "/b/c1", "aB" * n + "/b/c1", "1-" * n, "password=" + "a1/" * n, "a." * m + "@", "x@" + "a." * m + "b", "4 " * m, "9" * m, "1." * m, "ab12" * m, "AKIA" * n, "DE89 " * m, "+1 " * m]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(long)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r["doc_id"]: r for r in secrets.report(secrets.scan(table)).collect()}
+    for i, text in enumerate(long):
+        assert rows[i]["base_sha256"] == digest([f"{k}:{a}:{b}" for a, _, k, b in brute_secrets(text)]), i
+    assert rows[0]["n_entropy"] == 0 and rows[5]["n_assign"] == 1
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, table, "").collect()}
+    assert masked[0] == long[0] and masked[5] == "[SECRET]"
+    found = {r["doc_id"]: r for r in pii.report(pii.scan(table)).collect()}
+    for i in (0, 1, 8, 13, 14):  # in others the plain patterns take quadratic time
+        assert found[i]["base_sha256"] == digest([f"{k}:{a}:{b}" for k, spans in brute_pii(long[i]).items() for a, b in spans]), i
+
+
 def test_masking(spark, docs, texts):
     masked = {r["doc_id"]: r["text"] for r in secrets.mask(docs).collect()}
     for i, text in texts.items():

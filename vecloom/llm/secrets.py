@@ -12,7 +12,8 @@ Entropy is held as integers (n*log2(n) times a million, rounded), so every
 engine and partitioning gives the same result.
 
 Defined results: a null text counts as empty and has no spans; rows are never
-dropped; extra columns are kept by ``scan`` and clashing ones replaced.
+dropped; extra columns are kept by ``scan`` and clashing ones replaced; texts
+and candidates may be of any length, since no pattern recurses over them.
 """
 
 from __future__ import annotations
@@ -51,18 +52,30 @@ CLASSES = (
 )
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % WINDOW
-#: A part of a path that looks like a word, a camel-case name or a number; random keys mix cases and digits otherwise.
-_WORD = r"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+)[0-9]*|[0-9]+)"
-_SEGMENT = rf"{_WORD}(?:[_-]{_WORD})*"
-#: Candidates that match one of these are not reported: no digit or no letter, a UUID, a path of words, a placeholder, one repeated character.
-ALLOW = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    rf"^/?(?:{_SEGMENT}/){{2,}}(?:{_SEGMENT})?$",
-    r"(?i)example|placeholder|dummy|xxxx",
-    r"^(.)\1*$",
-)
+
+
+def _allow(hold: str) -> tuple[str, ...]:
+    """Candidates that match one of these are not reported: no digit or no letter, a UUID, a path of words, a placeholder, one repeated character.
+
+    ``hold`` follows the repetitions of groups.  None of them could give back a
+    round with success, so possessive ones ("+") find the same; Java needs them,
+    since it runs through other repeated groups by recursion, one frame a round.
+    """
+    # a part of a path that looks like a word, a camel-case name or a number; random keys mix cases and digits otherwise
+    word = rf"(?:(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*{hold}|[A-Z]+)[0-9]*|[0-9]+)"
+    segment = rf"{word}(?:[_-]{word})*{hold}"
+    return (
+        r"^[^0-9]*$",
+        r"^[^A-Za-z]*$",
+        r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+        rf"^/?(?:{segment}/){{2,}}{hold}(?:{segment})?$",
+        r"(?i)example|placeholder|dummy|xxxx",
+        r"^(.)\1*$",
+    )
+
+
+#: The rules for engines that match in linear time, and for Spark.
+ALLOW, ALLOW_IN_JAVA = _allow(""), _allow("+")
 
 
 def n_log_n(n: int) -> int:
@@ -106,7 +119,7 @@ def _entropy_spans(text: Column) -> Column:
     def random_enough(s: Column) -> Column:
         value = s["value"]
         allowed = F.lit(False)
-        for rule in ALLOW:
+        for rule in ALLOW_IN_JAVA:
             allowed = allowed | value.rlike(rule)
         verdict = F.lit(False)
         for c in reversed(CLASSES):
