@@ -56,7 +56,7 @@ from vecloom.llm.scratch import folder
 META = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters of a part, and of what is cut at once.
-PART_CHARS, SLICE_CHARS = 32 << 20, 1 << 20
+PART_CHARS, SLICE_CHARS = 32 << 20, 1 << 19
 #: Longer words are named by a digest where rows are keyed by word.
 KEY_CHARS = 64
 #: Characters of a long word that are exploded from one substring of it, and values that are folded at a time.
@@ -210,6 +210,7 @@ def parts(docs: DataFrame, table: PieceTable, text: str = "text", part_chars: in
                 if part.chars >= part_chars:
                     yield part.row(_place(task, number))
                     number, part = number + 1, Part()
+            del batch, own, raw  # before the next one is there
         if texts:
             part.add(*cutter.words(texts))
         if part.docs:
@@ -406,7 +407,7 @@ def _encoded(docs: DataFrame, table: PieceTable, text: str, part_chars: int, dec
     found = encode_words(distinct.select("key", F.coalesce("long", "key").alias("word"), "first"), table)
     same = F.coalesce((F.col("place") >= F.col("first")) & (F.col("long").isNull() | (F.col("first") >= 0)), F.lit(False))
     joined_words = dealt.join(found.withColumnRenamed("key", "own_key"), (F.col("key") == F.col("own_key")) & same)
-    words = joined_words.select(F.shiftright("place", CODE_BITS).alias("of"), F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int").alias("code"), "ids")
+    words = joined_words.select(F.shiftright("place", CODE_BITS).alias("of"), F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int").alias("code"), F.col("ids").cast("array<smallint>" if _ids(table) < 1 << 15 else "array<int>").alias("ids"))
     texts = held.select("part", "docs", "sizes", "codes")
     shipped = docs.sparkSession.sparkContext.broadcast(decoder)  # the vocabulary, or nothing
 
@@ -428,12 +429,15 @@ def round_trip(docs: DataFrame, model_path: str, text: str = "text", part_chars:
 
 
 # ----------------------------------------------------------------- decoding
+def _ids(table: PieceTable) -> int:
+    return 1 + max(max(i for i, *_ in table.pieces), *table.bytes)
+
+
 class Decoder:
     """Bytes of every id, laid end to end."""
 
     def __init__(self, table: PieceTable):
-        size = 1 + max(max(i for i, *_ in table.pieces), *table.bytes)
-        of_id = ["�".encode()] * (size + 1)  # the last stands for ids outside the table
+        of_id = ["�".encode()] * (_ids(table) + 1)  # the last stands for ids outside the table
         for i, p, _ in table.pieces:
             of_id[i] = p.replace(META, " ").encode()
         for b, i in enumerate(table.bytes):
