@@ -286,6 +286,82 @@ def test_store_keeps_state_through_maintenance(spark, tmp_path):
     assert store.status()["live"] == before[0]
 
 
+def put_of(spark, *ids, x=0.0):
+    return log_ops.batch(spark, 0, [("put", i, [x, x], {}) for i in ids])
+
+
+def test_a_view_stays_as_it_was(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(2))
+    for i in range(1, 6):
+        store.commit(put_of(spark, i))
+    view, lone, held = store.view(), store.view(), store.manifest()
+    name = store.pin(view)
+    assert [r["id"] for r in store.live(store.view(3)).orderBy("id").collect()] == [1, 2, 3]
+    store.commit(put_of(spark, 9))
+    store.commit(log_ops.batch(spark, 0, [("delete", 1)]))
+    assert view.sequence == 5 and set(as_state(store.live(view))) == {1, 2, 3, 4, 5}
+    store.seal()
+    store.compact()
+    assert set(as_state(store.live(view))) == {1, 2, 3, 4, 5} and set(as_state(store.live())) == {2, 3, 4, 5, 9}
+    store.unpin(name)
+    store.cleanup()
+    for state in (lone, held):  # an older state raises; it never reads fewer rows
+        with pytest.raises(ValueError, match="gone"):
+            store.live(state)
+    short = store.pin(store.view(), seconds=-1)
+    assert store.pins() == [] and f"{short}.json" not in store.files.names("pins")
+
+
+def test_commits_count_when_they_are_published(spark, tmp_path, monkeypatch):
+    store, other = (Store(spark, f"file://{tmp_path}/s", Config(2)) for _ in range(2))
+    store.commit(put_of(spark, 1))
+    # a writer that dies after writing its data leaves nothing that counts
+    with monkeypatch.context() as m:
+        m.setattr(store.files, "create", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            store.commit(put_of(spark, 2))
+    assert set(as_state(store.live())) == {1} and store.sequence() == 1 and len(store.files.names("commits")) == 2
+    # of two writers of one number the second fails and takes its data away
+    tail = store.tail()
+    with monkeypatch.context() as m:
+        m.setattr(other, "tail", lambda *_: tail)
+        assert store.commit(put_of(spark, 3)) == 2
+        with pytest.raises(FileExistsError):
+            other.commit(put_of(spark, 4))
+    assert set(as_state(store.live())) == {1, 3} and len(store.files.names("commits")) == 3
+    store.compact()
+    assert store.files.names("commits") == [] and set(as_state(store.live())) == {1, 3}
+    other.take_over()
+    with pytest.raises(PermissionError):
+        store.commit(put_of(spark, 5))
+    assert other.commit(put_of(spark, 6)) == 3
+
+
+def test_restore(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(2))
+    for i in range(3):
+        store.commit(put_of(spark, i, x=float(i)))
+    store.backup(f"file://{tmp_path}/b")
+    store.commit(put_of(spark, 7))
+    again = Store(spark, f"file://{tmp_path}/r", Config(2))
+    assert again.restore(f"file://{tmp_path}/b") == 3
+    assert digest(again.live()) == digest(store.live(store.view(3))) and again.commit(put_of(spark, 8)) == 4
+    with pytest.raises(FileExistsError):
+        again.restore(f"file://{tmp_path}/b")
+    with pytest.raises(FileNotFoundError):
+        Store(spark, f"file://{tmp_path}/x", Config(2)).restore(f"file://{tmp_path}/nothing")
+
+
+def test_late_versions_do_not_overwrite(spark, tmp_path):
+    """Files out of order: each run ingests one, the oldest version last."""
+    history, log_dir = random_history(5, 9), tmp_path / "log"
+    store = Store(spark, f"file://{tmp_path}/store", Config(2))
+    for i, s in enumerate([3, 1, 5, 4, 8, 2, 7, 6]):
+        log_ops.batch(spark, s, history[s]).coalesce(1).write.parquet(str(log_dir / f"{i:05d}"))
+        ingest.ingest(ingest.log_stream(spark, str(log_dir)), store, str(tmp_path / "c")).awaitTermination(120)
+    assert as_state(store.live()) == replay(history)
+
+
 def test_collections(spark, tmp_path):
     c = Collections(spark, f"file://{tmp_path}")
     config = Config(3, Metric.COSINE, "one", ("a", "b"), ("k",))
@@ -337,6 +413,17 @@ def test_retry_and_conditions():
         w.apply(requests.Request(99, "d", (put(1),)))
 
 
+def test_requests_in_a_group_see_each_other():
+    w = requests.Window()
+    revision, (boundary, nonce) = w.observe(1)
+    assert (revision, boundary) == (0, 0) and len(nonce) == 32 and nonce != w.observe(1)[1][1]
+    first = requests.Request(0, "a", (put(1),))
+    found = w.apply_group([first, requests.Request(0, "b", (put(1),), ((1, 0),)), requests.Request(5, "c", (put(2),)), first, requests.Request(2, "d", (put(2),), ((2, 0),))])
+    assert [applied for _, applied in found] == [True, False, False, False, True]
+    assert [o.seq for o, _ in (found[0], found[1], found[3], found[4])] == [1, 2, 1, 3]
+    assert found[1][0].conflict == "stale_revision" and isinstance(found[2][0], requests.RequestError)
+
+
 def test_retention_boundaries():
     w = requests.Window()
     w.apply(requests.Request(0, "a", (put(1),)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import secrets
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import StrEnum
@@ -93,10 +94,24 @@ class Window:
         self._advance(ids)
         return self.seq
 
+    def apply_group(self, requests: Sequence[Request]) -> list[tuple[Outcome | RequestError, bool]]:
+        """Several requests in order, as one arrival: each sees what those before it did; a refused one doesn't stop the rest."""
+        found: list[tuple[Outcome | RequestError, bool]] = []
+        for request in requests:
+            try:
+                found.append(self.apply(request))
+            except RequestError as refused:
+                found.append((refused, False))
+        return found
+
     def revision(self, id: int) -> int:
         """Boundary to name in a condition on this id."""
         return self.seq
 
+    def observe(self, id: int) -> tuple[int, tuple[int, str]]:
+        """The revision of an id, and a request id (boundary, nonce) that nobody has used."""
+        return self.revision(id), (self.seq, secrets.token_hex(16))
+
     def _conflict(self, id: int, boundary: int) -> str | None:
         if boundary < self.floor:
             return "expired_revision"
