@@ -8,11 +8,13 @@ capacity however many documents there are.
 The plan is made on that histogram on the driver:
 
 * the incumbent is best-fit decreasing, run on counts instead of items;
-* bin completion (Korf 2003) then improves it unless it already meets the bound
-  ceil(tokens / capacity): around the largest remaining length it enumerates
-  undominated fillings, best fits first, takes each as often as counts allow,
-  and prunes a branch when the waste so far exceeds what the incumbent leaves.
-  The search has a node budget and always keeps the best plan found.
+* bin completion (Korf 2003) then improves it unless it already meets a lower
+  bound: around the largest remaining length it enumerates the undominated
+  fillings, of any number of pieces, best fits first, takes each as often as
+  counts allow or once, and prunes a branch when the waste so far exceeds what
+  the incumbent leaves, or the bound of the rest reaches it.  Fillings are made
+  when they are tried; ``NODE_BUDGET`` of them, dominated ones too, and the best plan found
+  until then is used.
 
 Places are given without gathering anything: a piece knows its rank among equal
 lengths from per-task counts and their running totals, and a plan interval
@@ -26,10 +28,11 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,8 @@ from vecloom.llm.scratch import materialize
 from vecloom.llm.tokens import encoder, read_declaration
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, ids_crc32 long, task int, nth long"
-#: Nodes that bin completion may visit, and fillings it tries at one node.
-NODE_BUDGET, FILLINGS = 20_000, 12
+#: Fillings that bin completion may look at in all; the best plan found until then stays.
+NODE_BUDGET = 20_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -97,75 +100,134 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[Bins]:
     return [Bins(lengths, n) for found in groups.values() for lengths, n in found]
 
 
-def fillings(counts: Counter, sizes: list[int], capacity: int, first: int) -> list[tuple[int, ...]]:
-    """Undominated fillings around one piece of length ``first``: exact ones if there are any, else the best fits.
+def lower_bound_of_large(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs (Martello and Toth's L2): those of the large pieces, and what the middle ones need beside them."""
+    best = lower_bound(histogram, capacity)
+    sizes = sorted(histogram)
+    counts = [0, *accumulate(histogram[k] for k in sizes)]
+    tokens = [0, *accumulate(k * histogram[k] for k in sizes)]
+    half = bisect_right(sizes, capacity // 2)
+    for i in range(half + 1):  # pieces of sizes[i:half] are the middle ones
+        huge_from = max(half, bisect_right(sizes, capacity - (sizes[i] if i < half else capacity // 2)))
+        large = counts[huge_from] - counts[half]
+        room = large * capacity - (tokens[huge_from] - tokens[half])
+        best = max(best, counts[-1] - counts[half] + max(0, -(-(tokens[half] - tokens[i] - room) // capacity)))
+    return best
+
+
+def _sums(pieces: Iterable[int], limit: int) -> int:
+    """Bit s is set if some of the pieces have the sum s, up to ``limit``."""
+    bits, mask = 1, (1 << (limit + 1)) - 1
+    for k in pieces:
+        bits |= bits << k & mask
+    return bits
+
+
+def dominated(filling: tuple[int, ...], counts: Counter, room: int) -> bool:
+    """Whether a piece left out could take the place of some pieces of ``filling`` at least as well.
 
-    ``sizes`` are the lengths left, largest first.  A single piece that fills the
-    room dominates every other filling, since they all fit in its place; a filling
-    of two dominates those of three in which two pieces fit in one of its places.
+    That is so if the piece fits in the room with them gone and is as large as
+    all of them together; then any plan with ``filling`` can be changed, with no
+    more sequences, into one that has the piece there (Martello and Toth; Korf).
+    """
+    slack, used = room - sum(filling), Counter(filling)
+    several = _sums(filling, room)
+    for k in used:
+        if used[k] == 1 and not _sums((x for x in filling if x != k), k) >> k & 1:
+            several &= ~(1 << k)  # one piece changed for an equal one is no gain
+    for k in used:
+        if used[k] > 1:  # as above, for lengths that are there more than once
+            if not _sums((x for x in filling if x < k), k) >> k & 1:
+                several &= ~(1 << k)
+    for x in counts:
+        if x <= room and counts[x] > used[x]:
+            low = max(0, x - slack)
+            if several >> low & ((1 << (x - low + 1)) - 1):
+                return True
+    return False
+
+
+def fillings(counts: Counter, capacity: int, first: int) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling around one piece of length ``first``, best fits first."""
+    return (f for f in enumerated(counts, capacity, first) if f)
+
+
+def enumerated(counts: Counter, capacity: int, first: int) -> Iterator[tuple[int, ...] | None]:
+    """As ``fillings``, made when asked for, with None in place of each dominated one.
+
+    Fillings are enumerated by the room they leave, from none on.  What the
+    lengths from some place on can sum up to is known, so no branch is entered
+    that doesn't end in a filling.
     """
     room = capacity - first
-    own = Counter((first,))
-
-    def free(*chosen: int) -> bool:
-        need = own + Counter(chosen)
-        return all(counts[k] >= n for k, n in need.items())
-
-    if room == 0 or not sizes or sizes[-1] > room:
-        return [(first,)]
-    if free(room):
-        return [(first, room)]
-    smaller = [k for k in sizes if k <= room]
-    found: list[tuple[int, ...]] = []
-    for k in smaller:
-        if 2 * k < room or len(found) >= FILLINGS:
-            break
-        if room - k in counts and free(k, room - k):
-            found.append((first, k, room - k))
-    steps = 0
-    for k in smaller if len(found) < FILLINGS // 2 else ():
-        for j in smaller[bisect_left(smaller, -min(k, room - k), key=lambda x: -x) :]:
-            steps += 1
-            if steps > 3000 or 2 * j + k < room or len(found) >= FILLINGS:
-                break
-            i = room - k - j
-            if i in counts and i <= j and not (counts[i + j] or counts[i + k]) and free(k, j, i):
-                found.append((first, k, j, i))
-        if steps > 3000 or len(found) >= FILLINGS or 3 * k < room:
-            break
-    if not found:
-        for start in range(min(len(smaller), FILLINGS)):  # best fits: the largest that fits, again and again
-            left, chosen = room, []
-            for k in smaller[start:]:
-                while k <= left and free(*chosen, k):
-                    chosen.append(k)
-                    left -= k
-            found.append((first, *chosen))
-        found = sorted(set(found), key=lambda f: (-sum(f), [-k for k in f]))
-    return found
-
-
-def bin_completion(histogram: dict[int, int], capacity: int, incumbent: list[Bins]) -> list[Bins]:
-    """The best plan that branch and bound finds within its node budget; never worse than ``incumbent``."""
+    free = counts.copy()
+    free[first] -= 1
+    free = +free
+    sizes = sorted((k for k in free if k <= room), reverse=True)
+    reach = [1]  # sums that the lengths from the last one back to i can have
+    for k in reversed(sizes):
+        bits, left, step = reach[-1], min(free[k], room // k), 1
+        while left:
+            take = min(step, left)
+            bits |= bits << k * take & ((1 << (room + 1)) - 1)
+            left, step = left - take, step * 2
+        reach.append(bits)
+    reach.reverse()
+
+    def exact(i: int, total: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield chosen
+            return
+        if i == len(sizes) or not reach[i] >> total & 1:
+            return
+        k = sizes[i]
+        for n in range(min(free[k], total // k), -1, -1):
+            yield from exact(i + 1, total - n * k, chosen + (k,) * n)
+
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for chosen in exact(0, total, ()):
+                yield None if dominated(chosen, free, room) else (first, *chosen)
+
+
+def bin_completion(histogram: dict[int, int], capacity: int, incumbent: list[Bins], budget: int = NODE_BUDGET) -> list[Bins]:
+    """The best plan that branch and bound finds within its budget; never worse than ``incumbent``.
+
+    A node fills a sequence around the largest piece left.  A filling is taken as
+    often as the counts allow, and then, as another branch, once.
+    """
     best, best_n = incumbent, sum(b.count for b in incumbent)
     tokens = sum(k * n for k, n in histogram.items())
-    bound = lower_bound(histogram, capacity)
-    nodes = 0
-    # a node: the counts of its parent, the filling to apply to them, the plan, sequences and waste so far
-    stack: list[tuple[Counter, tuple[int, ...], tuple, int, int]] = [(Counter(histogram), (), (), 0, 0)]
-    while stack and nodes < NODE_BUDGET and best_n > bound:
-        counts, filling, plan, used, waste = stack.pop()
-        nodes += 1
-        counts = counts.copy()
-        if filling:
-            need = Counter(filling)
-            times = min(counts[k] // n for k, n in need.items())
-            for k, n in need.items():
-                counts[k] -= n * times
-                if not counts[k]:
-                    del counts[k]
-            plan, used, waste = (plan, Bins(filling, times)), used + times, waste + times * (capacity - sum(filling))
-        if not counts:
+    bound = lower_bound_of_large(histogram, capacity)
+
+    def branches(counts: Counter) -> Iterator[tuple[tuple[int, ...] | None, int]]:
+        for filling in enumerated(counts, capacity, max(counts)):
+            if filling is None:
+                yield None, 0
+                continue
+            most = min(counts[k] // n for k, n in Counter(filling).items())
+            yield filling, most
+            if most > 1:
+                yield filling, 1
+
+    # a level: the counts, the branches not tried yet, and the plan, sequences and waste so far
+    levels = [(Counter(histogram), branches(Counter(histogram)), None, 0, 0)] if histogram else []
+    tried = 0
+    while levels and tried < budget and best_n > bound:
+        counts, options, plan, used, waste = levels[-1]
+        option = next(options, None)
+        if option is None:
+            levels.pop()
+            continue
+        tried += 1
+        filling, times = option
+        if filling is None:
+            continue
+        left = counts.copy()
+        for k, n in Counter(filling).items():
+            left[k] -= n * times
+        left, plan, used, waste = +left, (plan, Bins(filling, times)), used + times, waste + times * (capacity - sum(filling))
+        if not left:
             if used < best_n:
                 best_n, best = used, []
                 while plan:
@@ -173,11 +235,9 @@ def bin_completion(histogram: dict[int, int], capacity: int, incumbent: list[Bin
                     best.append(last)
             continue
         # a better plan has at most best_n - 1 sequences, which leave only this much room unused
-        if waste > (best_n - 1) * capacity - tokens or used + lower_bound(counts, capacity) >= best_n:
+        if waste > (best_n - 1) * capacity - tokens or used + lower_bound_of_large(left, capacity) >= best_n:
             continue
-        sizes = sorted(counts, reverse=True)
-        for option in reversed(fillings(counts, sizes, capacity, sizes[0])):
-            stack.append((counts, option, plan, used, waste))
+        levels.append((left, branches(left), plan, used, waste))
     return best
 
 
@@ -186,7 +246,7 @@ def make_plan(histogram: dict[int, int], capacity: int) -> list[Bins]:
     whole = {capacity: histogram[capacity]} if histogram.get(capacity) else {}
     rest = {k: n for k, n in histogram.items() if n and k != capacity}
     plan = best_fit_decreasing(rest, capacity)
-    if sum(b.count for b in plan) > lower_bound(rest, capacity):
+    if sum(b.count for b in plan) > lower_bound_of_large(rest, capacity):
         plan = bin_completion(rest, capacity, plan)
     return [Bins((k,), n) for k, n in whole.items()] + plan
 
