@@ -12,8 +12,8 @@ File layout (little-endian throughout):
 Any zstandard decoder reads such a file as a whole; a reader with the table
 fetches and decompresses only the frames of the documents asked for.
 
-Writing: documents are ranged by id, so each task writes one file of ascending
-ids, frame by frame.  A task's attempt writes under a name of its own and lists
+Writing: documents are ranged by id, so each task writes files of ascending
+ids, frame by frame, up to a bound of a file.  A task's attempt writes under a name of its own and lists
 the file in its result; a repeated or speculative attempt leaves a file that no
 list names.  The listing is one row a file.
 
@@ -46,7 +46,9 @@ from vecloom.llm.tokens import encoder, read_declaration
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 FOOTER, ENTRY = struct.Struct("<IBI"), struct.Struct("<III")
-MANIFEST = "path string, first_id long, documents long, tokens long, bytes long"
+MANIFEST = "path string, first_id long, number long, documents long, tokens long, bytes long"
+#: A file is closed at so many bytes or documents, which bounds its index, its seek table and a reader's memory.
+FILE_BYTES, FILE_DOCUMENTS = 1 << 30, 1_000_000
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
@@ -131,18 +133,30 @@ class FrameReader:
             i = j
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = 0, files: int | None = None) -> DataFrame:
-    """Encode whole texts and write them below ``path`` in ascending doc_id order; returns the listing of files."""
+def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = 0, files: int | None = None, file_bytes: int = FILE_BYTES, file_documents: int = FILE_DOCUMENTS) -> DataFrame:
+    """Encode whole texts and write them below ``path`` in ascending doc_id order; returns the listing of files.
+
+    ``files`` tasks write, each as many files as the bounds of a file ask for.
+    """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(read_declaration(tokenizer_path))
     target = _uri(path)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, writer = encoder(shipped.value), None
+        own, writer, number = encoder(shipped.value), None, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.finish()
+            stream.close()
+            return pa.RecordBatch.from_pylist([{"path": f"{target}/{name}", "first_id": writer.ids[0], "number": number, "documents": len(writer.ids), "tokens": writer.tokens, "bytes": writer.size}])
+
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode_all(batch.column("text"), end)):
                 if doc_id is None:
                     raise ValueError("a document without an id can't be written")
+                if writer is not None and (writer.size >= file_bytes or len(writer.ids) >= file_documents):
+                    yield closed()
+                    writer, number = None, number + 1
                 if writer is None:
                     store, where = open_store(f"{target}/{uuid.uuid4().hex}.zst")
                     store.create_dir(os.path.dirname(where), recursive=True)
@@ -150,9 +164,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = 0, files:
                     writer, name = FrameWriter(stream), os.path.basename(where)
                 writer.add(doc_id, ids.tobytes())
         if writer is not None:
-            writer.finish()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{target}/{name}", "first_id": writer.ids[0], "documents": len(writer.ids), "tokens": writer.tokens, "bytes": writer.size}])
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -162,7 +174,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end: int = 0, files:
 
 def starts(manifest: DataFrame) -> DataFrame:
     """The listing with ``base``: tokens in all files before. One row a file, so one task can sum them."""
-    before = Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_id", "number", "path").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
