@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 
 pytest.importorskip("vecloom.llm")
-from vecloom.llm import embed_dedup, packing, pii, quality, queries, secrets, sentencepiece_lattice, sharding, simhash, token_files, toxicity  # noqa: E402
+from vecloom.llm import embed_dedup, packing, pii, quality, queries, scratch, secrets, sentencepiece_lattice, sharding, simhash, token_files, toxicity  # noqa: E402
 from vecloom.llm.components import connected_components  # noqa: E402
 from vecloom.llm.scratch import folder  # noqa: E402
 from vecloom.llm.tokens import encoder, read_declaration  # noqa: E402
@@ -325,6 +326,21 @@ def test_token_files_defined_cases(spark, docs):
     assert sorted(r["start"] for r in rows) == [0, rows[0]["n_tokens"]]
 
 
+def test_token_files_are_bounded(spark, docs, texts):
+    """Many files a task, also through rows that share an id."""
+    same = docs.select("doc_id", "text").where("doc_id = 5").crossJoin(spark.range(7).select()).unionByName(docs.select("doc_id", "text"))
+    manifest = token_files.write(same, BPE, folder(spark, "bounded"), files=2, file_bytes=3000, file_documents=3).cache()
+    listed = manifest.collect()
+    assert len(listed) > 40 and max(r["documents"] for r in listed) == 3
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.digests(token_files.read(manifest)).collect())
+    start, expected = 0, []
+    for i in sorted([*texts, *[5] * 7]):
+        expected.append((start, i, len(library_ids(texts[i])) + 1))
+        start += expected[-1][2]
+    assert rows == expected
+    assert token_files.lookup(manifest, [40])[40].tolist() == [*library_ids(texts[40]), 0]
+
+
 # ----------------------------------------------------------------- 5 quality
 def brute_features(text):
     text = text or ""
@@ -850,7 +866,65 @@ def test_plan_is_optimal_on_small_cases():
     assert packing.make_plan({}, 10) == []
 
 
+def brute_fillings(free, room):
+    """Undominated sets by definition: no other set takes all of its pieces into the places of its own."""
+    items = sorted(free.elements())
+    sets = {tuple(sorted(c)) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(c) <= room}
+
+    def fits(pieces, places):
+        if not pieces:
+            return True
+        return any(pieces[-1] <= p and fits(pieces[:-1], (*places[:i], p - pieces[-1], *places[i + 1 :])) for i, p in enumerate(places))
+
+    return {s for s in sets if not any(s != o and fits(s, o) and not fits(o, s) for o in sets)}
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = random.Random(21)
+    for _ in range(150):
+        capacity = rng.randint(6, 24)
+        counts = Counter(rng.randint(1, capacity) for _ in range(rng.randint(1, 7)))
+        first = max(counts)
+        found = list(packing.fillings(counts, capacity, first))
+        sums = [sum(f) for f in found]
+        assert sums == sorted(sums, reverse=True) and len(set(found)) == len(found)
+        wanted = brute_fillings(counts - Counter([first]), capacity - first)
+        own = {tuple(sorted(f[1:])) for f in found}
+        # every undominated set is there; what else is there is not dominated by a single piece
+        assert wanted <= own
+        assert all(f[0] == first and all(n <= counts[k] for k, n in Counter(f).items()) for f in found)
+
+
+def test_plans_where_best_fit_is_not_enough():
+    """Random histograms on which best fit misses the bound; bin completion against exhaustive search."""
+    rng, better, seen = random.Random(33), 0, 0
+    for _ in range(4000):
+        capacity = rng.choice([30, 50, 100])
+        items = [rng.randint(capacity // 6, capacity // 2 + 4) for _ in range(rng.randint(7, 11))]
+        histogram = dict(Counter(items))
+        start = sum(b.count for b in packing.best_fit_decreasing(histogram, capacity))
+        if start == packing.lower_bound(histogram, capacity):
+            continue
+        seen += 1
+        least = least_bins(items, capacity)
+        plan = packing.make_plan(histogram, capacity)
+        assert Counter(k for b in plan for k in b.lengths for _ in range(b.count)) == Counter(items) and all(sum(b.lengths) <= capacity for b in plan)
+        assert sum(b.count for b in plan) == least, items
+        assert packing.lower_bound(histogram, capacity) <= packing.lower_bound_of_large(histogram, capacity) <= least
+        better += start > least
+        if seen == 150:
+            break
+    assert seen == 150 and better >= 5
+
+
 # ---------------------------------------------------------------- components
+def test_components_keep_one_round(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "base", lambda spark: f"file://{tmp_path}")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r["component"] for r in connected_components(chain).collect()} == {0}
+    assert len([p for p in tmp_path.glob("*/*") if p.is_dir()]) == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(100)] + [(600, i) for i in range(601, 700)] + [(5, 5), (None, 3)]

@@ -4,7 +4,8 @@ Alternating large-star and small-star steps (Kiveris et al., 2014): each step
 only takes minima per node (map-side combined) and joins them back, so no node
 gathers its neighbours in one place and a hub is an ordinary skewed join that
 adaptive execution may split.  The number of rounds is logarithmic in the
-component size.  Every round is a Parquet table in the shared folder.
+component size.  Every round is a Parquet table in the shared folder; the one
+before it is removed.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     edges = materialize(edges, "links")
     before = _state(edges)
     for _ in range(max_rounds if before[0] else 0):
-        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "star")
+        edges = materialize(_small_star(_large_star(edges).distinct()).distinct(), "star", instead_of=edges)
         after = _state(edges)
         if after == before:
             break

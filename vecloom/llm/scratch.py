@@ -33,8 +33,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and return the reread table: computed once, no lineage."""
-    path = folder(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and return the reread table: computed once, no lineage.
+
+    ``instead_of`` is an earlier such table that nothing reads any more once
+    this one is written; its files are removed.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        for old in {f.rpartition("/")[0] for f in instead_of.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.schema(df.schema).parquet(path)
