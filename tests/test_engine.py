@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -110,6 +111,23 @@ def test_batch_paths_agree(spark):
         assert [(d, i) for qid, _, i, d in a if qid == q] == brute(config.metric, vectors, v, 7)
 
 
+def test_batches_in_blocks(spark, monkeypatch):
+    """Several blocks of points and queries, ties and queries that are the same."""
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, (300, 5)).astype(np.float32)
+    rows = frame(spark, vectors).cache()
+    queries = [(i, vectors[i % 40].tolist()) for i in range(60)]
+    table = spark.createDataFrame(queries, "qid long, vector array<float>")
+    monkeypatch.setattr(search, "POINTS_AT_ONCE", 70)
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 13)
+    for metric in (Metric.SQUARED_EUCLIDEAN, Metric.MANHATTAN):
+        found_rows = search.batch(rows, table, Config(5, metric), 7, query_block=0).collect()
+        for q, v in queries:
+            assert [(r["distance"], r["id"]) for r in sorted(found_rows, key=lambda r: r["rank"]) if r["qid"] == q] == brute(metric, vectors, v, 7)
+    assert search.batch(rows, table, Config(5), 0, query_block=0).count() == 0
+    assert search.batch(rows.limit(0), table, Config(5), 3, query_block=0).count() == 0
+
+
 # --------------------------------------------------------------------- filters
 SHAPES = [
     {"color": "red"},
@@ -655,3 +673,94 @@ def test_plans_are_the_wanted_ones(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.replace("TakeOrdered", "")
     plan = catalog.QUERIES["knn_batch"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan
+    plan = catalog.QUERIES["knn_filter_promoted"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "In(key_label" in plan and "EqualTo(key_parity,odd)" in plan
+    plan = catalog.QUERIES["ivf_saved_search"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cid#\d+ IN", plan)
+    plan = catalog.QUERIES["knn_k_over_rows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "TakeOrdered" not in plan
+
+
+# ------------------------------------------- queries that have no SQL, by brute force
+def test_span_choice_query(spark, sf_dir):
+    from vecloom.plans import catalog, tables
+
+    ranked = [(r["pack"], r["block"]) for r in sorted(catalog.sketch.route(catalog.sketch.sketched(catalog._packed(spark, sf_dir)), tables.L2, tables.vector_of(spark, sf_dir, 9), 60).collect(), key=lambda r: (r["score"], r["pack"], r["block"]))]
+    spent, chosen = 0, {}
+    for pack, block in ranked:
+        held = chosen.get(pack)
+        if held is None and len(chosen) == 3:
+            continue
+        low, high = (block, block + 1) if held is None else (min(held[0], block), max(held[1], block + 1))
+        cost = 6000 * ((high - low) - (0 if held is None else held[1] - held[0]))
+        if spent + cost <= 40_000:
+            chosen[pack], spent = (low, high), spent + cost
+    assert {(r["object"], r["start"], r["length"]) for r in catalog.QUERIES["span_choice"](spark, sf_dir).collect()} == {(f"pack-{p:05d}", 6000 * a, 6000 * (b - a)) for p, (a, b) in chosen.items()}
+
+
+def test_vector_local_layout_query(spark, sf_dir):
+    """Every split of every group is checked: sizes, and that the order along the direction of the halves' means is kept."""
+    from vecloom.plans import catalog, tables
+
+    vectors = {r["id"]: np.array(r["vector"], dtype=np.float64) for r in tables.points(spark, sf_dir).collect()}
+    rows = catalog.QUERIES["vector_local_layout"](spark, sf_dir).collect()
+    assert sorted(r["id"] for r in rows) == sorted(vectors) and all(r["seal"] == r["id"] // 512 for r in rows)
+
+    def leaves(ids):
+        if len(ids) <= layout.BLOCK_ROWS:
+            return [ids]
+        count = max(-(-len(ids) // layout.BLOCK_ROWS), 2)
+        cut = len(ids) * (count // 2) // count
+        x = {i: vectors[i] for i in ids}
+        axis = max(range(64), key=lambda d: (sum(v[d] ** 2 for v in x.values()) - sum(v[d] for v in x.values()) ** 2 / len(x), -d))
+        order = sorted(ids, key=lambda i: (x[i][axis], i))
+        for _ in range(3):
+            w = np.mean([x[i] for i in order[cut:]], axis=0) - np.mean([x[i] for i in order[:cut]], axis=0)
+            order = sorted(order, key=lambda i: (x[i] @ w, i))
+        return leaves(order[:cut]) + leaves(order[cut:])
+
+    for seal in {r["seal"] for r in rows}:
+        own = {}
+        for r in rows:
+            if r["seal"] == seal:
+                own.setdefault(r["leaf"], set()).add(r["id"])
+        wanted = [set(part) for part in leaves(sorted(i for i in vectors if i // 512 == seal))]
+        assert [own[n] for n in sorted(own)] == wanted
+
+
+def memories(spark, sf_dir):
+    from vecloom.functions.embed import embed_text
+
+    found = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text is not null").collect():
+        scope = f"conv-{r['conv_id']}"
+        found.setdefault((hashing.memory_id_of(scope, r["text"]), scope, r["text"]), set()).add(r["role"])
+    return {key: (embed_text(key[2], 64), roles) for key, roles in found.items()}
+
+
+def cosine(a, b):
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        total += x * y
+    return max(1.0 - total, 0.0)
+
+
+def test_memory_recall_query(spark, sf_dir):
+    from vecloom.functions.embed import embed_text
+    from vecloom.plans import catalog, tables
+
+    q = tables.COSINE.query(embed_text("how are the things", 64))
+    ranked = sorted((cosine(v, q), i, text, roles) for (i, scope, text), (v, roles) in memories(spark, sf_dir).items() if scope == "conv-1")[:5]
+    rows = sorted(catalog.QUERIES["memory_recall"](spark, sf_dir).collect(), key=lambda r: (-r["score"], r["id"]))
+    assert [(r["id"], r["text"]) for r in rows] == [(i, text) for _, i, text, _ in ranked]
+    assert all(abs(r["score"] - (1 - d)) < 1e-12 and r["role"] in roles for r, (d, _, _, roles) in zip(rows, ranked))
+
+
+def test_text_query_query(spark, sf_dir):
+    from vecloom.functions.embed import embed_text
+    from vecloom.plans import catalog, tables
+
+    q = tables.COSINE.query(embed_text("where is the station", 64))
+    ranked = sorted((cosine(v, q), i) for (i, _, _), (v, _) in memories(spark, sf_dir).items())[:10]
+    rows = sorted((r["distance"], r["id"]) for r in catalog.QUERIES["text_query"](spark, sf_dir).collect())
+    assert [i for _, i in rows] == [i for _, i in ranked] and all(abs(a - b) < 1e-12 for (a, _), (b, _) in zip(rows, ranked))

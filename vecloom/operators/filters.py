@@ -130,6 +130,17 @@ def on_metadata(source: Mapping[str, Any] | Filter | None, metadata: Column | No
     return column(tree, lambda k: F.col(promoted[k]) if promoted and k in promoted else m[k])
 
 
+def condition(source: Mapping[str, Any] | Filter, promoted: Mapping[str, str] | None = None) -> Column:
+    """The filter for a ``where``, which takes null for false: comparisons of promoted keys stay plain, so the scan takes them."""
+    tree = source if isinstance(source, (Leaf, Node)) else parse(source)
+    if isinstance(tree, Node) and tree.op in ("and", "or") and tree.children:
+        return reduce((lambda a, b: a & b) if tree.op == "and" else (lambda a, b: a | b), [condition(c, promoted) for c in tree.children])
+    if isinstance(tree, Leaf) and promoted and tree.key in promoted and (tree.op == "$eq" or (tree.op == "$in" and tree.value)):
+        value = F.col(promoted[tree.key])
+        return value == F.lit(tree.value) if tree.op == "$eq" else value.isin(*tree.value)
+    return on_metadata(tree, promoted=promoted)
+
+
 def matches(tree: Filter, metadata: Mapping[str, str]) -> bool:
     """The filter on one Python mapping: an oracle independent of Spark."""
     if isinstance(tree, Node):

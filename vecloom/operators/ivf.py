@@ -214,11 +214,18 @@ def probe(index: Index, query: Sequence[float], k: int, probes: int, filter: Map
     return search.exact(index.assigned.where(F.col("cid").isin(chosen)), index.config, query, k, filter)
 
 
-def center_ranks(index: Index, queries: Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
-    """(qid, cid, center_rank): the order, from 1, in which each query probes the partitions."""
-    spark, metric = index.assigned.sparkSession, index.config.metric
-    rows = [(qid, c, r) for qid, v in queries for r, (c, _) in enumerate(nearest_centers(metric, index.config.query(v), index.centers, len(index.centers)), 1)]
-    return spark.createDataFrame(rows, "qid long, cid int, center_rank int")
+def center_ranks(index: Index, queries: DataFrame | Sequence[tuple[int, Sequence[float]]]) -> DataFrame:
+    """(qid, cid, center_rank) of queries (qid, vector): the order, from 1, in which each probes the partitions."""
+    if not isinstance(queries, DataFrame):
+        queries = index.assigned.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "qid long, vector array<float>")
+    shipped = queries.sparkSession.sparkContext.broadcast((index.config, index.centers))
+
+    @F.pandas_udf("array<int>")
+    def order(vectors: pd.Series) -> pd.Series:
+        config, centers = shipped.value
+        return vectors.map(lambda v: [c for c, _ in nearest_centers(config.metric, config.query(v), centers, len(centers))])
+
+    return queries.select("qid", F.posexplode(order("vector")).alias("place", "cid")).select("qid", "cid", (F.col("place") + 1).alias("center_rank"))
 
 
 def adaptive(index: Index, query: Sequence[float], k: int, min_probes: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:

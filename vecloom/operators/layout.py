@@ -107,8 +107,8 @@ def conversion_due(rows: int, centroids: int | None) -> bool:
     return rows > centroids * ROWS_PER_CENTER * RECLUSTER_FACTOR and automatic_centroids(rows) > centroids
 
 
-def convert(points: DataFrame, index, path: str) -> None:
-    """Writes the clustered table: one folder a cluster, sorted by id, ready for pruned probes."""
+def convert(index, path: str) -> None:
+    """Writes an index's points as the clustered table: one folder a cluster, sorted by id, ready for pruned probes."""
     from vecloom.operators import ivf
 
     ivf.save(index, path)

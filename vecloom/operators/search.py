@@ -9,6 +9,8 @@ import time
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +18,24 @@ from vecloom.functions import distance
 from vecloom.model import MAX_K, Config, stored
 from vecloom.operators import filters
 
-#: Queries of one batch that are broadcast; a batch is split beyond it.
+#: Queries of one batch that are broadcast; a larger one is held against the points block by block.
 QUERY_BLOCK = 512
+#: Queries and points of one block there, and points whose distances are held at once.
+QUERIES_AT_ONCE, POINTS_AT_ONCE, TILE = 4096, 65_536, 1024
 
 
 def exact(points: DataFrame, config: Config, query: Sequence[float], k: int, filter: Mapping[str, Any] | filters.Filter | None = None, fields: Sequence[str] = (), promoted: Mapping[str, str] | None = None) -> DataFrame:
-    """The k nearest points that match ``filter``: one scan, one distance, top-k in every task and then of all."""
+    """The k nearest points that match ``filter``: one scan, one distance, top-k in every task and then of all.
+
+    More than ``MAX_K`` that are all there is are sorted by ranges, not in one task.
+    """
     if k < 0:
         raise ValueError("k must not be negative")
     q = config.query(query)
-    rows = points if filter is None else points.where(filters.on_metadata(filter, promoted=promoted))
+    rows = points if filter is None else points.where(filters.condition(filter, promoted))
     found = rows.select("id", distance.to_query(config.metric, "vector", q).alias("distance"), *[f for f in fields if f != "distance"])
-    return found.orderBy("distance", "id").limit(k)
+    ordered = found.orderBy("distance", "id")
+    return ordered if k > MAX_K and rows.select("id").count() <= k else ordered.limit(k)
 
 
 def late_fields(hits: DataFrame, points: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -85,34 +93,76 @@ def by_text(points: DataFrame, config: Config, text: str, k: int = 10, filter: M
     return knn(points, config, vector, k, filter, include=include)
 
 
-def batch(points: DataFrame, queries: DataFrame, config: Config, k: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:
+def batch(points: DataFrame, queries: DataFrame, config: Config, k: int, filter: Mapping[str, Any] | filters.Filter | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, id, distance, rank) of every query in (qid, vector).
 
-    The queries are a stated set compared with all rows.  Each task keeps k rows
-    a query before anything is shuffled (the window's group limit), so the
-    exchange carries at most tasks x queries x k rows.
+    The queries are a stated set compared with all rows.  Up to ``query_block``
+    of them are broadcast, and each task keeps k rows a query before anything is
+    shuffled (the window's group limit).  More of them meet the points in blocks:
+    no query set reaches the driver or every task.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     q = queries.select("qid", stored(F.col("vector"), config).alias("q"))
-    if q.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:  # too many to broadcast as a table
-        return batch_vectors(points, [(r["qid"], r["vector"]) for r in queries.select("qid", "vector").toLocalIterator()], config, k, filter)
-    rows = points if filter is None else points.where(filters.on_metadata(filter))
-    scored = rows.select("id", "vector").join(F.broadcast(q), how="cross").select("qid", "id", distance.between(config.metric, F.col("vector"), F.col("q")).alias("distance"))
+    rows = points if filter is None else points.where(filters.condition(filter))
     best = Window.partitionBy("qid").orderBy("distance", "id")
+    if q.limit(query_block + 1).count() > query_block:
+        scored = _by_blocks(rows.select("id", "vector"), q, config, k)
+    else:
+        scored = rows.select("id", "vector").join(F.broadcast(q), how="cross").select("qid", "id", distance.between(config.metric, F.col("vector"), F.col("q")).alias("distance"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _by_blocks(points: DataFrame, queries: DataFrame, config: Config, k: int) -> DataFrame:
+    """(qid, id, distance): the k nearest of each query in each block of points.
+
+    Points and queries are dealt into blocks by hash; every block of points meets
+    every block of queries in one group of bounded size.
+    """
+    over = max(1, -(-points.count() // POINTS_AT_ONCE)), max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    metric = config.metric
+    kind = queries.schema["qid"].dataType.simpleString()
+    left = points.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(over[0]))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(over[1] - 1))))
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(over[1]))).withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(over[0] - 1))))
+
+    def nearest(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame({"qid": asked["qid"].iloc[:0], "id": own["id"].iloc[:0], "distance": np.zeros(0)})
+        if not len(own) or not len(asked) or not k:
+            return found
+        v, q = np.stack(own["vector"].to_numpy()), np.stack(asked["q"].to_numpy())
+        parts = []
+        for at in range(0, len(q), TILE // 8):
+            some = slice(at, at + TILE // 8)
+            for first in range(0, len(v), TILE * 8):
+                parts += _nearest_of(distance.to_many(metric, v[first : first + TILE * 8], q[some]), asked["qid"].to_numpy()[some], own["id"].to_numpy()[first : first + TILE * 8], k)
+        return pd.concat(parts)
+
+    grouped = left.groupBy(F.col("p").cast("long"), F.col("b").cast("long")).cogroup(right.groupBy(F.col("qp").cast("long"), F.col("qb").cast("long")))
+    return grouped.applyInPandas(nearest, f"qid {kind}, id long, distance double")
+
+
+def _nearest_of(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> list[pd.DataFrame]:
+    """The k least of every column of ``scores`` (rows by queries), ties to the lower id."""
+    out = []
+    for j in range(scores.shape[1]):
+        column = scores[:, j]
+        if len(column) > k:
+            bound = np.partition(column, k - 1)[k - 1] if k else -1.0
+            keep = np.flatnonzero(column <= bound)
+            keep = keep[np.lexsort((ids[keep], column[keep]))][:k]
+        else:
+            keep = np.arange(len(column) if k else 0)
+        out.append(pd.DataFrame({"qid": np.full(len(keep), qids[j]), "id": ids[keep], "distance": column[keep]}))
+    return out
+
+
 def batch_vectors(points: DataFrame, vectors: Sequence[tuple[int, Sequence[float]]], config: Config, k: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:
     """As ``batch`` for queries held by the driver, any number of them, in Arrow batches.
 
     Every task reduces its rows to k a query with numpy, adding one dimension at
     a time as the expressions do, before the final ranking.
     """
-    import numpy as np
-    import pandas as pd
-
-    rows = points if filter is None else points.where(filters.on_metadata(filter))
+    rows = points if filter is None else points.where(filters.condition(filter))
     ids = np.array([i for i, _ in vectors], dtype=np.int64)
     q = np.stack([config.query(v) for _, v in vectors])
     shipped = points.sparkSession.sparkContext.broadcast((ids, q))
@@ -125,16 +175,7 @@ def batch_vectors(points: DataFrame, vectors: Sequence[tuple[int, Sequence[float
                 continue
             v, own = np.stack(pdf["vector"].to_numpy()), pdf["id"].to_numpy()
             for at in range(0, len(qid), QUERY_BLOCK):
-                d = distance.to_many(metric, v, matrix[at : at + QUERY_BLOCK])
-                for j in range(d.shape[1]):
-                    column = d[:, j]
-                    if len(column) > k:
-                        bound = np.partition(column, k - 1)[k - 1] if k else -1.0
-                        keep = np.flatnonzero(column <= bound)
-                        keep = keep[np.lexsort((own[keep], column[keep]))][:k]
-                    else:
-                        keep = np.arange(len(column))[: len(column) if k else 0]
-                    yield pd.DataFrame({"qid": np.full(len(keep), qid[at + j]), "id": own[keep], "distance": column[keep]})
+                yield from _nearest_of(distance.to_many(metric, v, matrix[at : at + QUERY_BLOCK]), qid[at : at + QUERY_BLOCK], own, k)
 
     found = rows.select("id", "vector").mapInPandas(nearest, "qid long, id long, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "id")

@@ -18,6 +18,8 @@ from vecloom.operators import evaluate, filters, ivf, layout, points as log_ops,
 from vecloom.operators import memory as memory_ops
 from vecloom.plans import tables as t
 from vecloom.plans.tables import COSINE, DIM, L1, L2, LOG, PTS, REQUESTS, distance_sql, key_sql, unit_sql
+from vecloom.session import shared_folder
+from vecloom.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +74,16 @@ FILTERS = {
 for _key, _filter in FILTERS.items():
     register(f"knn_filter_{_key}", _knn_sql(L2, filters.sql(filters.parse(_filter), key_sql)))(lambda s, d, f=_filter: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 10, f))
 
+
+
+@register("knn_filter_promoted", _knn_sql(L2, filters.sql(filters.parse(FILTERS["in"] | {"parity": "odd"}), key_sql)))
+def knn_filter_promoted(spark, sf_dir):
+    """Points stored with two keys as columns: the filter reaches the scan."""
+    path = shared_folder(spark, "promoted")
+    t.points(spark, sf_dir).select("*", *[F.col("metadata")[k].alias(f"key_{k}") for k in ("label", "parity")]).write.parquet(path)
+    return search.exact(spark.read.parquet(path), L2, t.vector_of(spark, sf_dir, 0), 10, FILTERS["in"] | {"parity": "odd"}, promoted={"label": "key_label", "parity": "key_parity"})
+
+
 register("knn_k_zero", _knn_sql(L2, k=0))(lambda s, d: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 0))
 register("knn_k_over_rows", _knn_sql(L2, k=1_000_000))(lambda s, d: search.exact(t.points(s, d), L2, t.vector_of(s, d, 0), 1_000_000))
 
@@ -82,25 +94,20 @@ def knn_fields(spark, sf_dir):
     return found.select("id", "distance", F.col("metadata")["label"].alias("label"), F.col("metadata")["score"].alias("score"), F.get("vector", F.lit(0)).alias("first_component"))
 
 
-def _batch_sql(where: str, k: int = 5, queries: str = "vec_id % 20 = 0") -> str:
-    return f"""WITH {PTS}, d AS (SELECT q.vec_id AS qid, id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts, (SELECT vec_id, embedding FROM embeddings WHERE {queries}) q WHERE {where}),
+def _batch_sql(where: str, k: int = 5) -> str:
+    return f"""WITH {PTS}, d AS (SELECT q.vec_id AS qid, id, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'v', 'q.embedding')} AS distance FROM pts, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q WHERE {where}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM d) SELECT qid, id, distance, rank FROM r WHERE rank <= {k}"""
 
 
-def _query_set(spark, sf_dir) -> list[tuple[int, list[float]]]:
+def _query_set(spark, sf_dir) -> DataFrame:
     """The stated queries: vectors whose id is divisible by 20."""
-    rows = t.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").collect()
-    return [(r[0], r[1]) for r in rows]
-
+    return t.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
-register("knn_batch", _batch_sql("TRUE"))(lambda s, d: search.batch_vectors(t.points(s, d), _query_set(s, d), L2, 5))
-register("knn_batch_filtered", _batch_sql(filters.sql(filters.parse(FILTERS["and"]), key_sql)))(lambda s, d: search.batch_vectors(t.points(s, d), _query_set(s, d), L2, 5, FILTERS["and"]))
 
-
-@register("knn_batch_table", _batch_sql("TRUE", queries="vec_id < 20"))
-def knn_batch_table(spark, sf_dir):
-    queries = t.read(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return search.batch(t.points(spark, sf_dir), queries, L2, 5)
+register("knn_batch", _batch_sql("TRUE"))(lambda s, d: search.batch(t.points(s, d), _query_set(s, d), L2, 5))
+register("knn_batch_filtered", _batch_sql(filters.sql(filters.parse(FILTERS["and"]), key_sql)))(lambda s, d: search.batch(t.points(s, d), _query_set(s, d), L2, 5, FILTERS["and"]))
+# the same queries in blocks, as any set beyond a broadcast goes
+register("knn_batch_blocks", _batch_sql("TRUE"))(lambda s, d: search.batch(t.points(s, d), _query_set(s, d), L2, 5, query_block=0))
 
 
 @register("normalized_vectors", f"SELECT vec_id AS id, list_reduce(list_transform({unit_sql('embedding')}, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b) AS total, ({unit_sql('embedding')})[1] AS first_component FROM embeddings")
@@ -289,10 +296,7 @@ SELECT CAST(step AS INTEGER) AS step, CAST(i AS BIGINT) AS row FROM f""",
 )
 def farthest_point_init(spark, sf_dir):
     """The resident index's start over all rows, of which none but the chosen ones reaches the driver."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom"
-    chosen = ivf.farthest_rows(t.points(spark, sf_dir), Metric.SQUARED_EUCLIDEAN, 6, ivf.SEED, f"{root}/farthest-{uuid.uuid4().hex}")
+    chosen = ivf.farthest_rows(t.points(spark, sf_dir), Metric.SQUARED_EUCLIDEAN, 6, ivf.SEED, shared_folder(spark, "farthest"))
     return spark.createDataFrame(list(enumerate(chosen)), "step int, row long")
 
 
@@ -317,6 +321,33 @@ register("ivf_adaptive", _ivf_sql("r <= 1 OR before < 20", _SPARSE_SQL, 20))(lam
 register("ivf_full_probe_equals_exact", _knn_sql(L2, source=5))(lambda s, d: ivf.probe(_index(s, d), t.vector_of(s, d, 5), 10, _CENTERS))
 
 
+def _saved(spark, sf_dir) -> ivf.Index:
+    """The index as a table of one folder a center."""
+    path = shared_folder(spark, "layout")
+    index = _index(spark, sf_dir)
+    layout.convert(index, path)
+    return ivf.load(spark, path, L2, index.identity)
+
+
+# a probe of a stored layout reads the folders of its centers only
+register("ivf_saved_search", _ivf_sql("r <= 2"))(lambda s, d: ivf.probe(_saved(s, d), t.vector_of(s, d, 5), 10, 2))
+register("ivf_saved_filtered", _ivf_sql("r <= 2", _SPARSE_SQL))(lambda s, d: ivf.probe(_saved(s, d), t.vector_of(s, d, 5), 10, 2, _SPARSE))
+
+
+@register("view_as_of", _live_sql("seq <= 1"))
+def view_as_of(spark, sf_dir):
+    """The first two commits of the log in a store, read through a view that was taken before later ones and a compaction."""
+    store = Store(spark, shared_folder(spark, "store"), Config(3))
+    log = t.log(spark, sf_dir)
+    for n in (0, 1):
+        store.commit(log.where(F.col("seq") == n))
+    view = store.view()
+    store.pin(view)
+    store.commit(log.where("seq between 2 and 40"))
+    store.compact()
+    return t.flat(store.live(view))
+
+
 @register("nearest_centers", f"WITH {_train_sql(Metric.SQUARED_EUCLIDEAN)}, q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 5) SELECT cid, {distance_sql(Metric.SQUARED_EUCLIDEAN, 'center', 'q.q')} AS score FROM c2, q ORDER BY score, cid LIMIT 3")
 def nearest_centers(spark, sf_dir):
     found = ivf.nearest_centers(L2.metric, L2.query(t.vector_of(spark, sf_dir, 5)), _trained(spark, sf_dir, L2), 3)
@@ -376,7 +407,13 @@ _LAYOUT = f"{_ASSIGNED_SQL}, b AS MATERIALIZED (SELECT id, cid, CAST(floor((row_
 register("cluster_layout", f"{_LAYOUT} SELECT cid, block, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM b GROUP BY cid, block")(lambda s, d: layout.cluster_layout(_index(s, d).assigned))
 
 
-@register("cluster_packs")
+_PACKS = _LAYOUT.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS MATERIALIZED (SELECT cid, CAST(max(block) + 1 AS BIGINT) AS blocks, row_number() OVER (ORDER BY cid) AS i FROM b GROUP BY cid),
+f(i, cid, first_pack, ahead, last, used) AS (SELECT CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+SELECT i, cid, p, a, p + (a + blocks - 1) // 12, a + blocks - 12 * ((a + blocks - 1) // 12) FROM (SELECT n.i, n.cid, n.blocks, f.last + CASE WHEN f.used > 0 AND f.used + n.blocks > 12 THEN 1 ELSE 0 END AS p, CASE WHEN f.used + n.blocks > 12 THEN 0 ELSE f.used END AS a FROM f JOIN n ON n.i = f.i + 1))
+SELECT DISTINCT b.cid, b.block, f.first_pack + (f.ahead + b.block) // 12 AS pack FROM b JOIN f ON f.cid = b.cid"""
+
+
+@register("cluster_packs", _PACKS)
 def cluster_packs(spark, sf_dir):
     """Packs of the clustered layout: a running choice over clusters."""
     return layout.packs(layout.cluster_layout(_index(spark, sf_dir).assigned)).select("cid", "block", "pack")
@@ -462,8 +499,8 @@ def vector_local_layout(spark, sf_dir):
 # ---------------------------------------------------------------- evaluation
 def _recalls(spark, sf_dir) -> DataFrame:
     queries, index = _query_set(spark, sf_dir), _index(spark, sf_dir)
-    truth = search.batch_vectors(index.assigned, queries, L2, 5)
-    found = search.batch_vectors(index.assigned.where("cid < 4"), queries, L2, 5)
+    truth = search.batch(index.assigned, queries, L2, 5)
+    found = search.batch(index.assigned.where("cid < 4"), queries, L2, 5)
     return evaluate.recall(found, truth)
 
 
@@ -477,7 +514,7 @@ register("recall_summary", f"{_RECALLS} SELECT round(avg(recall), 9) AS mean, qu
 def ivf_probe_recall(spark, sf_dir):
     """Recall at 10 of the probed search for every number of probes, centers trained with the production sample and iterations; checked by brute force."""
     queries, index = _query_set(spark, sf_dir), ivf.build_bounded(t.points(spark, sf_dir), L2, _CENTERS)
-    truth = search.batch_vectors(t.points(spark, sf_dir), queries, L2, 10)
+    truth = search.batch(t.points(spark, sf_dir), queries, L2, 10)
     recalls = evaluate.probe_recall(truth, index.assigned, ivf.center_ranks(index, queries), len(index.centers))
     return recalls.groupBy("probes").agg(F.round(F.avg("recall"), 9).alias("mean"), evaluate.percentile("recall", 0.05).alias("p5"), F.count(F.lit(1)).alias("queries"))
 
@@ -521,12 +558,9 @@ def memory_forget(spark, sf_dir):
 @register("collection_catalog", "SELECT * FROM (VALUES ('alpha', 64, 'squared_euclidean', 'parity', 'odd', 'label,score', 1), ('beta', 3, 'cosine', NULL, NULL, '', 2)) v(name, dimensions, metric, resident_key, resident_value, routed_keys, generation)")
 def collection_catalog(spark, sf_dir):
     """Two collections, one of them deleted and created anew, listed from a catalog folder."""
-    import uuid
-
     from vecloom.sources.collections import Collections
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/vecloom"
-    catalog = Collections(spark, f"{root}/catalog-{uuid.uuid4().hex}")
+    catalog = Collections(spark, shared_folder(spark, "catalog"))
     catalog.create(Config(DIM, name="alpha", resident_filter=("parity", "odd"), routed_keys=("score", "label")))
     catalog.create(Config(3, Metric.COSINE, "beta"))
     catalog.delete("beta")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -20,3 +23,13 @@ def session(master: str | None = None, app: str = "vecloom", **settings: str) ->
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and the executors share; a local one only where there is no cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vecloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
