@@ -661,6 +661,12 @@ def test_fvecs_round_trip(spark, tmp_path):
     assert back == {r["id"]: list(r["vector"]) for r in rows.collect()}
 
 
+def test_automatic_centroids_as_a_column(spark):
+    rows = [0, -5, 1, 3999, 4000, 5656, 5657, 250_000, 10**7, 10**12, *range(1, 200_000, 4871)]
+    table = spark.createDataFrame([(n,) for n in rows], "n long").select("n", hashing.automatic_centroids_of(F.col("n")).alias("c"))
+    assert all(r["c"] == hashing.automatic_centroids(r["n"]) for r in table.collect())
+
+
 def test_row_bytes_and_stored(spark):
     r = frame(spark, [(3.0, 4.0)], lambda i: {"é": "ab"}).select(row_bytes(F.col("vector"), F.col("metadata")).alias("n"), stored(F.col("vector"), Config(2, Metric.COSINE)).alias("v")).first()
     assert r["n"] == 17 + 8 + 4 + 8 + 2 + 2 and [round(x, 6) for x in r["v"]] == [0.6, 0.8]

@@ -70,3 +70,9 @@ def automatic_centroids(rows: int, rows_per_center: int = 4000, most: int = 4096
     if rows <= 0:
         return 1
     return int(min(max(2 ** math.floor(math.log2(rows / rows_per_center) + 0.5), 1), most))
+
+
+def automatic_centroids_of(rows: Column, rows_per_center: int = 4000, most: int = 4096) -> Column:
+    """``automatic_centroids`` as a column."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(rows / F.lit(float(rows_per_center))) + F.lit(0.5)))
+    return F.when(rows <= 0, F.lit(1)).otherwise(F.greatest(F.least(power, F.lit(float(most))), F.lit(1.0))).cast("int")

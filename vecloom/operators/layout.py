@@ -60,6 +60,18 @@ def liveness(placed: DataFrame, current: DataFrame) -> DataFrame:
     return marked.groupBy("pack", "block").agg(F.count(F.lit(1)).alias("rows"), F.count("live").alias("live"))
 
 
+def garbage(placed: DataFrame, current: DataFrame) -> DataFrame:
+    """(pack, bytes, garbage) from (pack, id, seq, bytes): raw bytes of each pack, and of its rows that are not the newest version."""
+    marked = placed.join(current.select("id", "seq", F.lit(1).alias("live")), ["id", "seq"], "left")
+    return marked.groupBy("pack").agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("live").isNull(), F.col("bytes")).otherwise(0)).alias("garbage"))
+
+
+def summary(layout: DataFrame) -> DataFrame:
+    """One row about a clustered layout: clusters, blocks, rows, and the rows of the largest cluster and the smallest block."""
+    clusters = layout.groupBy("cid").agg(F.count(F.lit(1)).alias("blocks"), F.sum("rows").alias("rows"), F.min("rows").alias("least"))
+    return clusters.agg(F.count(F.lit(1)).alias("clusters"), F.sum("blocks").alias("blocks"), F.sum("rows").alias("rows"), F.max("rows").alias("largest_cluster"), F.min("least").alias("smallest_block"))
+
+
 def dead_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks of ``liveness`` without a live row: they can be dropped from the file list."""
     return blocks.where(F.col("live") == 0).select("pack", "block", "rows")

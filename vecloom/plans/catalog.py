@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import distance
-from vecloom.functions.hashing import memory_id, sample_priority
+from vecloom.functions.hashing import automatic_centroids_of, memory_id, sample_priority
 from vecloom.model import MAX_POINT_BYTES, Config, Metric, is_valid, row_bytes
 from vecloom.operators import evaluate, filters, ivf, layout, points as log_ops, read, requests, search, sketch
 from vecloom.operators import memory as memory_ops
@@ -419,6 +419,14 @@ def cluster_packs(spark, sf_dir):
     return layout.packs(layout.cluster_layout(_index(spark, sf_dir).assigned)).select("cid", "block", "pack")
 
 
+register("layout_summary", f"{_LAYOUT}, sizes AS (SELECT cid, block, count(*) AS n FROM b GROUP BY ALL), per_cluster AS (SELECT cid, count(*) AS blocks, sum(n) AS n, min(n) AS least FROM sizes GROUP BY cid) SELECT count(*) AS clusters, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(n) AS BIGINT) AS rows, CAST(max(n) AS BIGINT) AS largest_cluster, min(least) AS smallest_block FROM per_cluster")(
+    lambda s, d: layout.summary(layout.cluster_layout(_index(s, d).assigned))
+)
+register("automatic_centroids", "SELECT vec_id AS id, CAST(CASE WHEN vec_id = 0 THEN 1 ELSE greatest(least(pow(2, floor(log2(vec_id * vec_id * 1009 / 4000.0) + 0.5)), 4096), 1) END AS INTEGER) AS centroids FROM embeddings")(
+    lambda s, d: t.points(s, d).select("id", automatic_centroids_of(F.col("id") * F.col("id") * 1009).alias("centroids"))
+)
+
+
 def _extent_rows(spark, sf_dir):
     log = t.log(spark, sf_dir)
     newest = log_ops.latest(log).select("id", F.col("seq").alias("s"), F.col("ord").alias("o"))
@@ -477,6 +485,15 @@ register("reclaim_due", f"WITH {_BLOCKS} SELECT pack, count(*) AS rows, count(CA
 )
 
 
+@register("pack_garbage", f"""WITH {LOG}, ver AS (SELECT id, seq * 10 + ord AS seq, CASE WHEN op = 'put' THEN 21 + 4 * 3 + 8 + 4 + strlen(type) ELSE 0 END AS bytes FROM log), cur AS (SELECT id, max(seq) AS seq FROM ver GROUP BY id)
+SELECT CAST(floor(ver.seq / 2040) AS INTEGER) AS pack, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN cur.id IS NULL THEN bytes ELSE 0 END) AS BIGINT) AS garbage FROM ver LEFT JOIN cur ON cur.id = ver.id AND cur.seq = ver.seq GROUP BY pack""")
+def pack_garbage(spark, sf_dir):
+    log, seq = t.log(spark, sf_dir), F.col("seq") * 10 + F.col("ord")
+    size = F.when(F.col("op") == "put", row_bytes(F.col("vector"), F.col("metadata"))).otherwise(0)
+    placed = log.select("id", seq.alias("seq"), F.floor(seq / 2040).cast("int").alias("pack"), size.alias("bytes"))
+    return layout.garbage(placed, placed.groupBy("id").agg(F.max("seq").alias("seq")))
+
+
 @register("reclaimed_rows", f"WITH {_BLOCKS} SELECT pack, id, seq FROM bl WHERE live AND pack IN (SELECT pack FROM bl GROUP BY pack HAVING 2 * count(CASE WHEN live THEN 1 END) <= count(*))")
 def reclaimed_rows(spark, sf_dir):
     placed, current = _placed(spark, sf_dir)
