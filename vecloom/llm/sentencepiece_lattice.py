@@ -38,6 +38,7 @@ as U+FFFD.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -215,15 +216,22 @@ def parts(docs: DataFrame, table: PieceTable, text: str = "text", part_chars: in
             part.add(*cutter.words(texts))
         if part.docs:
             yield part.row(_place(task, number))
-        # the worker stays for other tasks; what it no longer needs goes back
         del part
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # texts that are read by one task share their dictionary, so no more tasks than shuffles have
     return rows.coalesce(_partitions(docs.sparkSession)).mapInArrow(cut, PARTS)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: the worker stays for other tasks, and the JVM beside it may need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def _place(task: int, number: int) -> int:
     if number >= 1 << TASK_PARTS_BITS or task >= 1 << (63 - TASK_PARTS_BITS - CODE_BITS):
         raise ValueError("too many parts: read the texts with more, or fewer, tasks")
@@ -392,7 +400,7 @@ def _joined(texts: pa.Table, words: pa.Table, decoder: Decoder | None = None) ->
             columns = [docs.slice(first, last - first).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
             out.append(pa.table(columns + ([decoder.texts(ids, ends)] if decoder else []), schema=schema))
             first = last
-    pa.default_memory_pool().release_unused()
+    _give_back()
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
