@@ -128,6 +128,37 @@ def test_batches_in_blocks(spark, monkeypatch):
     assert search.batch(rows.limit(0), table, Config(5), 3, query_block=0).count() == 0
 
 
+@pytest.mark.parametrize("metric", list(Metric))
+def test_nearest_by_bounds_equals_all_distances(metric, monkeypatch):
+    """Copies, ties, lengths whose squares cancel, and components that are no numbers; few distances are computed."""
+    rng = np.random.default_rng(8)
+    spread = rng.normal(size=(6000, 16)).astype(np.float32)
+    ties = rng.integers(-2, 3, (3000, 4)).astype(np.float32)
+    far = (1e4 + rng.normal(size=(2500, 8)) * 1e-3).astype(np.float32)
+    odd = np.where(rng.random((1500, 3)) < 0.3, rng.choice([np.nan, np.inf, -np.inf, MAX, -MAX, TINY], (1500, 3)), rng.normal(size=(1500, 3))).astype(np.float32)
+    computed, of_pairs = [], distance.of_pairs
+    monkeypatch.setattr(distance, "of_pairs", lambda m, a, b: computed.append(len(a)) or of_pairs(m, a, b))
+    with np.errstate(all="ignore"):
+        for v in (spread, ties, far, odd, spread[:3], np.repeat(ties[:2], 1500, axis=0)):
+            q, ids = v[: len(v) // 5 + 1], rng.permutation(len(v)) * 3
+            scores = distance.to_many(metric, v, q)
+            for k in (1, 5, 1100):
+                computed.clear()
+                at, place, got = search.k_nearest(metric, v, ids, q, k)
+                for j in range(0, len(q), 7):
+                    best = np.lexsort((ids, scores[:, j]))[:k]
+                    assert np.array_equal(ids[place[at == j]], ids[best]) and np.array_equal(got[at == j], scores[best, j], equal_nan=True)
+                # cosine: these are no unit vectors, so half of the distances are 0
+                assert v is not spread or k > 5 or metric is Metric.COSINE or sum(computed) < 0.02 * scores.size
+
+
+def test_blocks_are_small_and_have_a_task_each(spark):
+    """40,000 points and 10,000 queries were one group before, and small groups shared a task."""
+    rows = spark.range(40_000).select("id", F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("vector"))
+    plan = search.batch(rows, rows.limit(10_000).withColumnRenamed("id", "qid"), Config(2), 3)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(p#\d+L, b#\d+L, 6\), REPARTITION_BY_NUM", plan)) == 2
+
+
 # --------------------------------------------------------------------- filters
 SHAPES = [
     {"color": "red"},

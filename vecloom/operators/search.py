@@ -11,17 +11,21 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import distance
-from vecloom.model import MAX_K, Config, stored
+from vecloom.model import MAX_K, Config, Metric, stored
 from vecloom.operators import filters
 
 #: Queries of one batch that are broadcast; a larger one is held against the points block by block.
 QUERY_BLOCK = 512
-#: Queries and points of one block there, and points whose distances are held at once.
-QUERIES_AT_ONCE, POINTS_AT_ONCE, TILE = 4096, 65_536, 1024
+#: Queries and points of one block there: a group is some seconds of work and 6 MB, and a row travels once for 16,384 of the others or 8,192.
+QUERIES_AT_ONCE, POINTS_AT_ONCE = 8192, 16_384
+#: Queries and points whose bounds are held at once, and pairs whose distances are.
+QUERY_TILE, TILE, PAIRS_AT_ONCE = 256, 1024, 16_384
 
 
 def exact(points: DataFrame, config: Config, query: Sequence[float], k: int, filter: Mapping[str, Any] | filters.Filter | None = None, fields: Sequence[str] = (), promoted: Mapping[str, str] | None = None) -> DataFrame:
@@ -117,50 +121,93 @@ def _by_blocks(points: DataFrame, queries: DataFrame, config: Config, k: int) ->
     """(qid, id, distance): the k nearest of each query in each block of points.
 
     Points and queries are dealt into blocks by hash; every block of points meets
-    every block of queries in one group of bounded size.
+    every block of queries in one group of bounded size, and there are as many
+    tasks as groups, whatever few bytes a group has.
     """
     over = max(1, -(-points.count() // POINTS_AT_ONCE)), max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    metric = config.metric
+    metric, groups = config.metric, over[0] * over[1]
     kind = queries.schema["qid"].dataType.simpleString()
-    left = points.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(over[0]))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(over[1] - 1))))
-    right = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(over[1]))).withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(over[0] - 1))))
-
-    def nearest(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame({"qid": asked["qid"].iloc[:0], "id": own["id"].iloc[:0], "distance": np.zeros(0)})
-        if not len(own) or not len(asked) or not k:
-            return found
-        v, q = np.stack(own["vector"].to_numpy()), np.stack(asked["q"].to_numpy())
-        parts = []
-        for at in range(0, len(q), TILE // 8):
-            some = slice(at, at + TILE // 8)
-            for first in range(0, len(v), TILE * 8):
-                parts += _nearest_of(distance.to_many(metric, v[first : first + TILE * 8], q[some]), asked["qid"].to_numpy()[some], own["id"].to_numpy()[first : first + TILE * 8], k)
-        return pd.concat(parts)
-
-    grouped = left.groupBy(F.col("p").cast("long"), F.col("b").cast("long")).cogroup(right.groupBy(F.col("qp").cast("long"), F.col("qb").cast("long")))
-    return grouped.applyInPandas(nearest, f"qid {kind}, id long, distance double")
-
-
-def _nearest_of(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int) -> list[pd.DataFrame]:
-    """The k least of every column of ``scores`` (rows by queries), ties to the lower id."""
-    out = []
-    for j in range(scores.shape[1]):
-        column = scores[:, j]
-        if len(column) > k:
-            bound = np.partition(column, k - 1)[k - 1] if k else -1.0
-            keep = np.flatnonzero(column <= bound)
-            keep = keep[np.lexsort((ids[keep], column[keep]))][:k]
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = points.withColumn("p", block("id", over[0])).withColumn("b", every(over[1])).repartition(groups, "p", "b")
+    right = queries.withColumn("b", block("qid", over[1])).withColumn("p", every(over[0])).repartition(groups, "p", "b")
+
+    def nearest(own: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, qids = own["id"].combine_chunks(), asked["qid"].combine_chunks()
+        if not len(ids) or not len(qids) or not k:
+            at, place, found = np.zeros((3, 0), dtype=np.int64)
         else:
-            keep = np.arange(len(column) if k else 0)
-        out.append(pd.DataFrame({"qid": np.full(len(keep), qids[j]), "id": ids[keep], "distance": column[keep]}))
-    return out
+            at, place, found = k_nearest(metric, _matrix(own["vector"]), ids.to_numpy(), _matrix(asked["q"]), k)
+        return pa.table({"qid": qids.take(pa.array(at)), "id": ids.take(pa.array(place)), "distance": pa.array(found, pa.float64())})
+
+    return left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(nearest, f"qid {kind}, id long, distance double")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows."""
+    rows = column.combine_chunks()
+    width = np.unique(pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False))
+    if len(width) != 1 or width[0] < 0:
+        raise ValueError("vectors must not be null and must have one width")
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), int(width[0]))
+
+
+def k_nearest(metric: Metric, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, point's place, distance) of the k nearest points of every query, ties to the lower id.
+
+    A tile of lower bounds is one matrix product; only points whose bound does
+    not exceed the k-th distance known so far get the distance itself, with the
+    order of additions that all paths share.  Of equal vectors only the k of
+    lowest id can be among the nearest.
+    """
+    order = np.argsort(ids, kind="stable")
+    order = order[_first_copies(vectors[order], k)]
+    v, q, ids = vectors[order].astype(np.float64), queries.astype(np.float64), ids[order]
+    out = []
+    for first in range(0, len(q), QUERY_TILE):
+        asked = q[first : first + QUERY_TILE]
+        bound = distance.lower_bounds(metric, asked)
+        at, place, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(len(asked), np.inf)
+        for start in range(0, len(v), TILE):
+            lower = bound(v[start : start + TILE])
+            if start == 0 and lower.shape[1] > k:
+                # the greatest distance of any k points is a limit
+                seeds = np.argpartition(lower, k - 1, axis=1)[:, :k].ravel()
+                limit = _of_pairs(metric, v, asked, seeds, np.repeat(np.arange(len(asked)), k)).reshape(-1, k).max(axis=1)
+            # not greater, so that what is not a number stays
+            new_at, new_place = np.divmod(np.flatnonzero(~(lower > limit[:, None])), lower.shape[1])
+            at, place, found = np.append(at, new_at), np.append(place, new_place + start), np.append(found, _of_pairs(metric, v, asked, new_place + start, new_at))
+            # places are in id order
+            best = np.lexsort((place, found, at))
+            at, place, found = at[best], place[best], found[best]
+            begins = np.searchsorted(at, np.arange(len(asked)))
+            keep = np.arange(len(at)) - begins[at] < k
+            at, place, found = at[keep], place[keep], found[keep]
+            full = np.bincount(at, minlength=len(asked)) == k
+            limit[full] = found[np.cumsum(np.bincount(at, minlength=len(asked)))[full] - 1]
+        out.append((at + first, order[place], found))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _first_copies(vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows that fewer than k rows before them equal, ascending."""
+    rows = np.ascontiguousarray(vectors)
+    same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    by_copy = np.argsort(same, kind="stable")
+    count = np.bincount(same)
+    return np.sort(by_copy[np.arange(len(same)) - (np.cumsum(count) - count)[same[by_copy]] < k])
+
+
+def _of_pairs(metric: Metric, vectors: np.ndarray, queries: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    parts = [distance.of_pairs(metric, vectors[place[i : i + PAIRS_AT_ONCE]], queries[at[i : i + PAIRS_AT_ONCE]]) for i in range(0, len(at), PAIRS_AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def batch_vectors(points: DataFrame, vectors: Sequence[tuple[int, Sequence[float]]], config: Config, k: int, filter: Mapping[str, Any] | filters.Filter | None = None) -> DataFrame:
     """As ``batch`` for queries held by the driver, any number of them, in Arrow batches.
 
-    Every task reduces its rows to k a query with numpy, adding one dimension at
-    a time as the expressions do, before the final ranking.
+    Every task reduces its rows to k a query with numpy before the final ranking.
     """
     rows = points if filter is None else points.where(filters.condition(filter))
     ids = np.array([i for i, _ in vectors], dtype=np.int64)
@@ -171,11 +218,11 @@ def batch_vectors(points: DataFrame, vectors: Sequence[tuple[int, Sequence[float
     def nearest(batches):
         qid, matrix = shipped.value
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not k:
                 continue
-            v, own = np.stack(pdf["vector"].to_numpy()), pdf["id"].to_numpy()
-            for at in range(0, len(qid), QUERY_BLOCK):
-                yield from _nearest_of(distance.to_many(metric, v, matrix[at : at + QUERY_BLOCK]), qid[at : at + QUERY_BLOCK], own, k)
+            own = pdf["id"].to_numpy()
+            at, place, found = k_nearest(metric, np.stack(pdf["vector"].to_numpy()), own, matrix, k)
+            yield pd.DataFrame({"qid": qid[at], "id": own[place], "distance": found})
 
     found = rows.select("id", "vector").mapInPandas(nearest, "qid long, id long, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "id")
