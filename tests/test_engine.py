@@ -718,6 +718,15 @@ def test_plans_are_the_wanted_ones(spark, sf_dir):
     assert "rangepartitioning" in plan and "TakeOrdered" not in plan
 
 
+@pytest.mark.parametrize("name", ["recall_at_k", "recall_summary"])
+def test_recall_searches_once_for_the_truth(spark, sf_dir, name):
+    """The truth was searched twice, and the partitions were assigned again by every search."""
+    from vecloom.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") == 1 and "EvalPython" not in plan
+
+
 # ------------------------------------------- queries that have no SQL, by brute force
 def test_span_choice_query(spark, sf_dir):
     from vecloom.plans import catalog, tables

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -25,6 +25,13 @@ def session(master: str | None = None, app: str = "vecloom", **settings: str) ->
     return builder.getOrCreate()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once: written to a fresh shared folder and reread, for results that are used several times."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and the executors share; a local one only where there is no cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
