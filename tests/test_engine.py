@@ -718,6 +718,14 @@ def test_plans_are_the_wanted_ones(spark, sf_dir):
     assert "rangepartitioning" in plan and "TakeOrdered" not in plan
 
 
+def test_adaptive_assigns_once_a_pass(spark, sf_dir):
+    """The tests for null on the partition took a second Python worker in every task."""
+    from vecloom.plans import catalog
+
+    plan = catalog.QUERIES["ivf_adaptive"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
 @pytest.mark.parametrize("name", ["recall_at_k", "recall_summary"])
 def test_recall_searches_once_for_the_truth(spark, sf_dir, name):
     """The truth was searched twice, and the partitions were assigned again by every search."""

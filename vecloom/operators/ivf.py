@@ -119,7 +119,8 @@ def assign(points: DataFrame, centers: np.ndarray, metric: Metric) -> DataFrame:
             parts = [_nearest(metric, np.stack(vectors.iloc[at : at + 1024].to_numpy()), shipped.value) for at in range(0, len(vectors), 1024)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0), dtype="int32")
 
-    return points.withColumn("cid", nearest("vector"))
+    # a column that is never null: else a join on it gets a test for null, and that assigns every row a second time
+    return points.withColumn("cid", F.coalesce(nearest("vector"), F.lit(-1)))
 
 
 @dataclass(frozen=True)
