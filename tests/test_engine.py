@@ -8,6 +8,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -735,6 +737,27 @@ def test_recall_searches_once_for_the_truth(spark, sf_dir, name):
     assert plan.count("BroadcastNestedLoopJoin") == 1 and "EvalPython" not in plan
 
 
+def test_recall_summary_of_more_queries_than_a_broadcast(spark, tmp_path):
+    """The larger tables' path: the blocks were met three times and the partitions assigned in each; checked by brute force."""
+    from vecloom.plans import catalog
+
+    n = 20 * (search.QUERY_BLOCK + 3)
+    v = np.random.default_rng(11).integers(-1, 2, (n, 64)).astype(np.float32)
+    v[n // 2 :] = v[: n - n // 2]  # copies, so that ties are broken by id
+    path = str(tmp_path)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(v), pa.list_(pa.float32())), "label": np.arange(n, dtype=np.int32) % 10}), f"{path}/embeddings.parquet")
+    summary = catalog.QUERIES["recall_summary"](spark, path)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FlatMap\w*Groups", plan)) == 1 and "EvalPython" not in plan
+    cid = {r["id"]: r["cid"] for r in catalog._index(spark, path).assigned.select("id", "cid").collect()}
+    probed = np.array([cid[i] < 4 for i in range(n)])
+    recalls = []
+    for q in v[::20]:
+        order = np.argsort(((v - q) ** 2).sum(axis=1), kind="stable")  # whole numbers, so no rounding
+        recalls.append(len(set(order[:5]) & set(order[probed[order]][:5])) / 5)
+    assert summary.collect() == [(round(float(np.mean(recalls)), 9), sorted(recalls)[-(-len(recalls) // 20) - 1], 0.0)]
+
+
 # ------------------------------------------- queries that have no SQL, by brute force
 def test_span_choice_query(spark, sf_dir):
     from vecloom.plans import catalog, tables
