@@ -737,6 +737,36 @@ def test_recall_searches_once_for_the_truth(spark, sf_dir, name):
     assert plan.count("BroadcastNestedLoopJoin") == 1 and "EvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["recall_at_k", "recall_summary"])
+def test_recall_searches_the_partitions_with_the_truth(spark, sf_dir, name, monkeypatch):
+    """The rows of the partitions were searched a second time, and the vectors written for it."""
+    from vecloom.plans import catalog
+
+    searches, batch = [], search.batch
+    monkeypatch.setattr(search, "batch", lambda *a, **b: searches.append(a) or batch(*a, **b))
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(searches) == 1 and not re.search(r"placed-.*embedding|placed-.*vector", plan)
+
+
+@pytest.mark.parametrize("block", [0, search.QUERY_BLOCK])
+def test_recall_within_is_that_of_the_search_itself(spark, block):
+    """Copies and ties, parts of no, some, few and all rows, fewer rows than neighbours, an id of two rows."""
+    from vecloom.operators import evaluate
+
+    vectors = np.random.default_rng(12).integers(-1, 2, (300, 3)).astype(np.float32)
+    config, rows = Config(3), frame(spark, vectors).cache()
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    for points in (rows, rows.where("id < 4")):
+        truth = search.batch(points, queries, config, 5, query_block=block).cache()
+        for part in ("id < 0", "id % 3 = 0", "id = 7", "true"):
+            read = points.where(part)
+            searched = evaluate.recall(search.batch(read, queries, config, 5, query_block=block), truth)
+            columns = ["qid", "k", "hits", "recall"]
+            got = evaluate.recall_within(truth, read.union(read)).select(columns)
+            assert got.dtypes == searched.select(columns).dtypes and sorted(got.collect()) == sorted(searched.select(columns).collect())
+        assert {r["k"] for r in got.collect()} == {min(5, points.count())}
+
+
 def test_recall_summary_of_more_queries_than_a_broadcast(spark, tmp_path):
     """The larger tables' path: the blocks were met three times and the partitions assigned in each; checked by brute force."""
     from vecloom.plans import catalog

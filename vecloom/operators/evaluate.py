@@ -14,6 +14,19 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return joined.withColumn("recall", F.col("hits") / F.col("k"))
 
 
+def recall_within(truth: DataFrame, read: DataFrame) -> DataFrame:
+    """As ``recall`` for a search that is exact within the rows of ``read`` (id), without searching them.
+
+    A true neighbour that is read is among the k nearest of what is read, since
+    no more rows come before it there than among all; one that is not read is not
+    found.  So the hits are the true neighbours that are read, and (qid, id) of
+    the truth are used once.
+    """
+    at = truth.select("qid", "id").join(read.select("id", F.lit(1).alias("read")).distinct(), "id", "left")
+    counted = at.groupBy("qid").agg(F.count(F.lit(1)).alias("k"), F.count("read").alias("hits"))
+    return counted.withColumn("recall", F.col("hits") / F.col("k"))
+
+
 def probe_recall(truth: DataFrame, placed: DataFrame, ranks: DataFrame, most: int) -> DataFrame:
     """(probes, qid, k, hits, recall) for 1 to ``most`` probes of every query's own nearest partitions.
 
